@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from deltaweave.llm.chat_format import OP6_SQL, op6_chat_format
 from deltaweave.llm.harmonic_packing import op10_harmonic_packing
+from deltaweave.llm.mixing import op7_mixing
+from deltaweave.llm.url_templates import op3_url_templates
 
 QUERIES = {
+    "op3_url_templates": op3_url_templates,
+    "op6_chat_format": op6_chat_format,
+    "op7_mixing": op7_mixing,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_format": OP6_SQL,
+}
