@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from deltaweave.llm.chat_format import OP6_SQL, op6_chat_format
 from deltaweave.llm.harmonic_packing import op10_harmonic_packing
+from deltaweave.llm.langid_crf import op9_langid_crf
 from deltaweave.llm.mixing import op7_mixing
 from deltaweave.llm.toxicity_wfst import op4_toxicity_wfst
 from deltaweave.llm.url_templates import op3_url_templates
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_mixing": op7_mixing,
     "op8_webp_lossless": op8_webp_lossless,
+    "op9_langid_crf": op9_langid_crf,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
