@@ -6,6 +6,7 @@ from deltaweave.llm.chat_format import OP6_SQL, op6_chat_format
 from deltaweave.llm.harmonic_packing import op10_harmonic_packing
 from deltaweave.llm.langid_crf import op9_langid_crf
 from deltaweave.llm.mixing import op7_mixing
+from deltaweave.llm.pii_semicrf import op5_pii_semicrf
 from deltaweave.llm.toxicity_wfst import op4_toxicity_wfst
 from deltaweave.llm.url_templates import op3_url_templates
 from deltaweave.llm.webp_lossless import op8_webp_lossless
@@ -13,6 +14,7 @@ from deltaweave.llm.webp_lossless import op8_webp_lossless
 QUERIES = {
     "op3_url_templates": op3_url_templates,
     "op4_toxicity_wfst": op4_toxicity_wfst,
+    "op5_pii_semicrf": op5_pii_semicrf,
     "op6_chat_format": op6_chat_format,
     "op7_mixing": op7_mixing,
     "op8_webp_lossless": op8_webp_lossless,
