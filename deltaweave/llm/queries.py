@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from deltaweave.llm.chat_format import OP6_SQL, op6_chat_format
 from deltaweave.llm.harmonic_packing import op10_harmonic_packing
+from deltaweave.llm.kdtree_topk import OP1_SQL, op1_kdtree_topk
 from deltaweave.llm.langid_crf import op9_langid_crf
 from deltaweave.llm.mixing import op7_mixing
 from deltaweave.llm.pii_semicrf import op5_pii_semicrf
@@ -12,6 +13,7 @@ from deltaweave.llm.url_templates import op3_url_templates
 from deltaweave.llm.webp_lossless import op8_webp_lossless
 
 QUERIES = {
+    "op1_kdtree_topk": op1_kdtree_topk,
     "op3_url_templates": op3_url_templates,
     "op4_toxicity_wfst": op4_toxicity_wfst,
     "op5_pii_semicrf": op5_pii_semicrf,
@@ -23,5 +25,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_kdtree_topk": OP1_SQL,
     "op6_chat_format": OP6_SQL,
 }
