@@ -7,6 +7,7 @@ from deltaweave.llm.harmonic_packing import op10_harmonic_packing
 from deltaweave.llm.kdtree_topk import OP1_SQL, op1_kdtree_topk
 from deltaweave.llm.langid_crf import op9_langid_crf
 from deltaweave.llm.mixing import op7_mixing
+from deltaweave.llm.ngram_jaccard import op2_ngram_jaccard
 from deltaweave.llm.pii_semicrf import op5_pii_semicrf
 from deltaweave.llm.toxicity_wfst import op4_toxicity_wfst
 from deltaweave.llm.url_templates import op3_url_templates
@@ -14,6 +15,7 @@ from deltaweave.llm.webp_lossless import op8_webp_lossless
 
 QUERIES = {
     "op1_kdtree_topk": op1_kdtree_topk,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_url_templates": op3_url_templates,
     "op4_toxicity_wfst": op4_toxicity_wfst,
     "op5_pii_semicrf": op5_pii_semicrf,
