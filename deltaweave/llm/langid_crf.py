@@ -240,22 +240,24 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def identify(docs: DataFrame, model: Crf, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """lang_pred and score for each row, beside the id (as doc_id) and the columns of `keep`."""
+    """doc_id, the columns of `keep`, lang_pred and score for each row. The text itself can be kept too and crosses to Python once."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-    kept = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep or [])]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    keep = list(keep or [])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep) if c != text_col])
+    kept = ["_text" if c == text_col else f"_keep_{i}" for i, c in enumerate(keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                langs, scores = label(crf, b.column(1).to_pylist())
-                own = [b.column(0), *b.columns[2:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(own, ["doc_id", *[f"_keep_{i}" for i in range(len(kept))], "lang_pred", "score"])
+                langs, scores = label(crf, b.column("_text").to_pylist())
+                own = [b.column(c) for c in ["_id", *kept]] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(own, ["_id", *kept, "_lang_pred", "_score"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in ["_id", *kept]) + ", _lang_pred string, _score double")
+    return out.select(F.col("_id").alias("doc_id"), *[F.col(k).alias(c) for k, c in zip(kept, keep)], F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def label(crf: Crf, texts: list[str | None], words_at_once: int = 200_000) -> tuple[list[str], list[float]]:

@@ -309,5 +309,17 @@ def link(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, id_col:
     return out.join(labelled, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs`, of each group of linked documents only the one with the smallest id; rows with a null id stay."""
+    linked = link(docs, id_col=id_col, **options)
+    # Only the dropped ids are joined: they are fewer, and small enough sets are broadcast by their measured size.
+    dropped = written(linked.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct())
+    repeated = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    out = docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+    if repeated:
+        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+    return out
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))

@@ -307,10 +307,11 @@ SPANS = "array<struct<kind: string, start: bigint, `end`: bigint, base: boolean>
 
 
 def find(docs: DataFrame, model: SemiCrf, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, masked: bool = False) -> DataFrame:
-    """doc_id, spans (by kind, then start) and the columns of `keep`; with `masked` also text with [KIND] for each span."""
+    """doc_id, the columns of `keep` and spans (by kind, then start); with `masked` also masked_text with [KIND] for each span."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some hundred weights
-    kept = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep or [])]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    keep = list(keep or [])
+    kept = [f"_keep_{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in zip(keep, kept)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,17 +319,16 @@ def find(docs: DataFrame, model: SemiCrf, *, id_col: str = "doc_id", text_col: s
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                texts = b.column(1).to_pylist()
+                texts = b.column("_text").to_pylist()
                 spans = [m.spans(t) for t in texts]
-                own = [b.column(0), *b.columns[2:], pa.array([[{"kind": KINDS[k], "start": s, "end": e, "base": f} for k, s, e, f in x] for x in spans], kind)]
-                names = ["doc_id", *[f"_keep_{i}" for i in range(len(kept))], "spans"]
+                own = [b.column(c) for c in ["_id", *kept]] + [pa.array([[{"kind": KINDS[k], "start": s, "end": e, "base": f} for k, s, e, f in x] for x in spans], kind)]
                 if masked:
                     own.append(pa.array([mask(t, x) for t, x in zip(texts, spans)], pa.string()))
-                    names.append("text")
-                yield pa.RecordBatch.from_arrays(own, names)
+                yield pa.RecordBatch.from_arrays(own, ["_id", *kept, "_spans", "_masked"][: len(own)])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{ddl}, spans {SPANS}" + ", text string" * masked)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in ["_id", *kept]) + f", _spans {SPANS}" + ", _masked string" * masked)
+    return out.select(F.col("_id").alias("doc_id"), *[F.col(k).alias(c) for k, c in zip(kept, keep)], F.col("_spans").alias("spans"), *[F.col("_masked").alias("masked_text")] * masked)
 
 
 def mask(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str | None:
@@ -351,5 +351,8 @@ def op5_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = find(docs, train(docs))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
