@@ -9,8 +9,8 @@ sets it could link to. An empty fragment sends a signature only if a set has so
 
 *Counts.* For a candidate pair each of `PARTS` ranges counts its partial overlap separately and the counts are summed for each pair.
 
-Equal sets are one class before any pair is made. Within a signature's bucket all members are first paired with its smallest
-member only (a star); after components of those links are known, members of the bucket in different components are
+Equal sets are one class before any pair is made. Within a signature's bucket all members are first paired with a few
+pivots only (stars); after components of those links are known, members of the bucket in different components are
 compared with each other, unless sizes or a parity sketch (whose differing bits never outnumber the differing n-grams) rule them out. So
 every link is either found or joins what is already connected, and a group of thousands of near copies costs stars, not all pairs.
 
@@ -37,6 +37,7 @@ from deltaweave.llm.components import components
 U64 = np.uint64
 SKETCH = 8  # longs
 PARTS = 8
+PIVOTS = 4
 FILTER_BITS = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _GAP = np.zeros(256, bool)
@@ -282,10 +283,15 @@ def link(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, id_col:
     known = written(rows.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in marks]))
 
     bucket = W.partitionBy("sig")
-    met = sent_signatures(base.where("doc_id is not null"), n, levels).withColumn("pivot", F.min("class").over(bucket)).withColumn("last", F.max("class").over(bucket))
-    met = written(met.where("pivot <> last").select("sig", "class", "pivot").distinct())
+    met = sent_signatures(base.where("doc_id is not null"), n, levels).withColumn("lo", F.min("class").over(bucket)).withColumn("hi", F.max("class").over(bucket)).where("lo <> hi")
+    lot = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "class"), "class")).over(bucket)["class"]
+    met = met.withColumn("pivots", F.array_distinct(F.array("lo", "hi", *[lot(i) for i in range(PIVOTS - 2)])))
+    # Buckets with the same members are one, named by its members.
+    same = F.xxhash64(F.bit_xor(F.xxhash64("class")).over(bucket), F.bit_xor(F.xxhash64(F.lit(7), "class")).over(bucket), F.count(F.lit(1)).over(bucket))
+    met = written(met.select(same.alias("sig"), "class", "pivots").distinct())
     second = known.select(F.col("class").alias("class2"), F.col("n").alias("n2"), *[F.col(m).alias(f"{m}2") for m in marks])
-    stars = met.where("class <> pivot").select("class", F.col("pivot").alias("class2")).distinct()
+    stars = met.select(F.explode("pivots").alias("class2"), "class").where("class <> class2")
+    stars = stars.select(F.least("class", "class2").alias("class"), F.greatest("class", "class2").alias("class2")).distinct()
     stars = written(stars.join(known, "class").join(second, "class2").where(_near(num, den)).select("class", "class2"))
     links = written(verified(stars, base, known, n, num, den))
     found = written(components(links))
@@ -295,7 +301,7 @@ def link(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, id_col:
     where = where.withColumn("component", F.coalesce("component", "node"))
     members = met.join(where, "class")
     members = members.withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket))
-    open_ = written(members.where("lo <> hi and class <> pivot").select("sig", "class", "component", "n", *marks))
+    open_ = written(members.where(F.expr("lo <> hi") & ~F.array_contains("pivots", F.col("class"))).select("sig", "class", "component", "n", *marks))
     other = open_.select("sig", *[F.col(c).alias(f"{c}2") for c in open_.columns if c != "sig"])
     rest = open_.join(other, "sig").where((F.col("class") < F.col("class2")) & (F.col("component") != F.col("component2")) & _near(num, den))
     rest = written(rest.select("class", "class2").distinct())
