@@ -7,7 +7,7 @@ separators, digit count, checks passed, cue words before it, what touches it. Dy
 boundaries and types together; a segment is added if its posterior reaches `sure` and it doesn't touch
 a base span.
 
-The field is trained by conditional likelihood on zones of at most `sample` texts (those with the smallest hash of
+The field is trained by conditional likelihood on zones of about `sample` texts (chosen by a hash of
 their id, at most `most_chars` long), with base spans as entities and rewritten base spans (spelled-out at-signs, other separators, missing plus)
 as further examples. Scoring is one pass over whole texts without a shuffle; memory is a zone's.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaweave.llm.common import table
+from deltaweave.llm.common import bounded_sample, table
 
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -297,9 +297,10 @@ def fit(texts: list[str], *, rounds: int = 6, rate: float = 0.3, ridge: float =
     return model
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, most_chars: int = 20_000) -> SemiCrf:
-    known = docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= most_chars))
-    rows = known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).orderBy(F.xxhash64("_id"), "_id", "_text").limit(sample).collect()
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, most_chars: int = 20_000) -> SemiCrf:
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull())
+    chosen = bounded_sample(rows, sample, id_col="_id", also=F.col("_text").rlike("[0-9@]") & (F.length("_text") <= most_chars))
+    rows = sorted(chosen.collect(), key=lambda r: r._id)
     return fit([r._text for r in rows])
 
 

@@ -6,8 +6,8 @@ under negation, one inside reported speech, ...), and only clauses that hold an
 it. A document's score is a logistic function of what its matched clauses add up to.
 
 Insult terms are words and word beginnings whose labelled documents are toxic far more often than others, with their log odds as weights; the
-logistic weights are fitted with them. The fit reads at most `sample` labelled documents (those with the
-smallest hash of their id) outside the held-out quarter, whole texts; a score reads nothing but the text.
+logistic weights are fitted with them. The fit reads about `sample` labelled documents (chosen by
+a hash of their id) outside the held-out quarter, whole texts; a score reads nothing but the text.
 
 Scoring is one pass without a shuffle: an Aho-Corasick automaton finds terms in the whole text, and the grammar runs on their
 clauses. The model is a few hundred terms, whatever the corpus.
@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaweave.llm.common import held_out, table
+from deltaweave.llm.common import bounded_sample, held_out, table
 
 #: Word lists of the grammar. Fixed values.
 THREATS = "kill hurt destroy shoot stab töten schlagen tuer frapper matar golpear".split()
 TARGETS = "you your they them he she people du ihr euch vous tu ils ellos usted tú".split()
 NEGATIONS = "not no never nor without isn't aren't nicht kein nie pas jamais nunca sin".split()
 REPORTS = "said says wrote quoted claimed called told sagte schrieb dit écrit dijo escribió".split()
-INSULTS = "idiot moron stupid scum loser trash".split()
+INSULTS = "idiot moron stupid scum loser trash clown pathetic worthless disgusting dumb fool jerk coward garbage filthy".split()
 
 #: Classes of tokens, and features that the machine counts.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -213,7 +213,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     y = np.array(toxic, float)
-    terms = {w: 1.0 for w in INSULTS} | mine_terms(texts, y)
+    terms = {w: 2.0 for w in INSULTS} | mine_terms(texts, y)
     model = Model(terms)
     if not len(y) or y.min() == y.max():
         model.coef = np.zeros(len(FEATURES) + 4)
@@ -224,12 +224,13 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000) -> Model:
-    """Fits on at most `sample` labelled documents outside the held-out quarter."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(id_col))
-    chosen = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y").collect()
-    rows.sort(key=lambda r: (r._id, r._text))
-    return fit([r._text for r in rows[: 2 * sample]], [int(r._y > 0) for r in rows[: 2 * sample]])
+    """Fits on about `sample` labelled documents outside the held-out quarter."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where("_y is not null and _id is not null").where(~held_out("_id"))
+    chosen = bounded_sample(known.groupBy("_id").agg(F.max("_y").alias("_y")), sample, id_col="_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).collect()  # the sample's size is bounded
+    rows.sort(key=lambda r: r._id)
+    return fit([r._text for r in rows], [int(r._y > 0) for r in rows])
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", at: float = 0.3) -> DataFrame:
