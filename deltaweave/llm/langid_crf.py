@@ -4,8 +4,8 @@ Each word of a text is labelled with a language; affixes, character 2- and 3-gra
 score for each, and learned transitions tie neighbours together, so that a switch of language inside a text is found by
 forward-backward. A document's language has the largest sum of word posteriors, and its score is that sum's share.
 
-Training maximises the likelihood of at most `sample` labelled texts outside the held-out quarter (those with the
-smallest hash of their id; texts over `most_chars` are not used for training). Runs of words of different documents are
+Training maximises the likelihood of about `sample` labelled texts outside the held-out quarter (chosen by a hash of
+their id; texts over `most_chars` are not used for training). Runs of words of different documents are
 spliced into training sequences, as labels for whole documents alone would show no switch.
 
 Inference is exact on whole texts and vectorised: the words of many documents form one chain, cut into equal chunks
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaweave.llm.common import held_out, table
+from deltaweave.llm.common import bounded_sample, held_out, table
 
 WORDS = re.compile(r"[^\W\d_]+")
 CHUNK = 128
@@ -234,8 +234,10 @@ def fit(texts: list[str], langs: list[str], *, least: int = 4, lexicon: int = 30
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 700, most_chars: int = 20_000) -> Crf:
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & (F.length(text_col) <= most_chars))
-    rows = known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).orderBy(F.xxhash64("_id"), "_id", "_text", "_lang").limit(sample).collect()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    known = rows.where(F.col("_lang").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id"))
+    chosen = bounded_sample(known, sample, id_col="_id", also=F.col("_text").isNotNull() & (F.length("_text") <= most_chars))
+    rows = sorted(chosen.collect(), key=lambda r: r._id)
     return fit([r._text for r in rows], [r._lang for r in rows])
 
 
