@@ -20,6 +20,7 @@ the two named ones are not read.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -41,21 +42,44 @@ _PRETOKENS = re.compile(rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^\s{_L
 _UNUSUAL = re.compile(r"[^\t\n\r -~ -ɏ]|<\|endoftext\|>")
 
 
+def byte_alphabet() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def ranked(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as bytes and ranks, if merging by smallest id is the same as merging in the file's order."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, letters = model["vocab"], byte_alphabet()
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)) or any(vocab.get(c, 256) > 255 for c in letters):
+        return None
+    ranks = {c: vocab[c] for c in letters} | {a + b: 256 + i for i, (a, b) in enumerate(pairs)}
+    return {bytes(letters[c] for c in token): i for token, i in ranks.items()}
+
+
 class Encoder(dict):
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    Byte-level BPE never merges over a pre-token's end, so ids are kept by pre-token, `most`
-    of them; later ones are encoded each time.
+    Byte-level BPE never merges over a pre-token's end, so ids are kept by pre-token, `most` of them; later
+    ones are encoded each time. Single pre-tokens are merged by rank, which gives the tokenizer's ids at a fraction of
+    a call's cost; texts with unusual characters go through the tokenizer itself.
     """
 
     def __init__(self, path: str, most: int = 300_000):
         super().__init__()
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        ranks = ranked(path)
+        self.merge = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
+        ids = array("I", self.merge(piece)).tobytes() if self.merge else self.whole(piece)
         if len(self) < self.most:
             self[piece] = ids
         return ids
