@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of frames that are no longer held: it acts when the driver's
+    garbage is collected, which a long job with a small driver may otherwise not do for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_sample(rows: DataFrame, size: int, *, id_col: str, also: Column | None = None) -> DataFrame:
     """About `size` rows (1.3 times as many are expected), one for each id, chosen by a hash of the id.
 

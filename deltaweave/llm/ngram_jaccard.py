@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaweave.llm.common import table, written
+from deltaweave.llm.common import release, table, written
 from deltaweave.llm.components import components
 
 U64 = np.uint64
@@ -252,10 +252,20 @@ def fragments(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return cut.join(wanted.select("node", "class"), ["node", "class"], "left_semi").dropDuplicates(["node", "class", "part"])
 
 
+def _differ(a: str = "", b: str = "2"):
+    """Differing bits of two sketches."""
+    return sum((F.bit_count(F.col(f"s{i}{a}").bitwiseXOR(F.col(f"s{i}{b}"))) for i in range(SKETCH)), F.lit(0))
+
+
+def _placed(known: DataFrame, found: DataFrame) -> DataFrame:
+    """class, component; a class without a link is its own."""
+    return known.select("class", "node").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("class", F.coalesce("component", "node").alias("component"))
+
+
 def _near(num: int, den: int, a: str = "", b: str = "2"):
     """Sizes and sketches that a pair of similarity num/den may have."""
     n1, n2 = F.col(f"n{a}"), F.col(f"n{b}")
-    differ = sum((F.bit_count(F.col(f"s{i}{a}").bitwiseXOR(F.col(f"s{i}{b}"))) for i in range(SKETCH)), F.lit(0))
+    differ = _differ(a, b)
     return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (differ * (den + num) <= (n1 + n2) * (den - num))
 
 
@@ -276,6 +286,7 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, num: i
 
 def link(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents whose sets have a similarity of num / den or more are linked."""
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     levels = Levels(num, den)
     rows = written(classes(base, n))
@@ -284,28 +295,41 @@ def link(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, id_col:
 
     bucket = W.partitionBy("sig")
     met = sent_signatures(base.where("doc_id is not null"), n, levels).withColumn("lo", F.min("class").over(bucket)).withColumn("hi", F.max("class").over(bucket)).where("lo <> hi")
-    lot = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "class"), "class")).over(bucket)["class"]
-    met = met.withColumn("pivots", F.array_distinct(F.array("lo", "hi", *[lot(i) for i in range(PIVOTS - 2)])))
     # Buckets with the same members are one, named by its members.
     same = F.xxhash64(F.bit_xor(F.xxhash64("class")).over(bucket), F.bit_xor(F.xxhash64(F.lit(7), "class")).over(bucket), F.count(F.lit(1)).over(bucket))
-    met = written(met.select(same.alias("sig"), "class", "pivots").distinct())
-    second = known.select(F.col("class").alias("class2"), F.col("n").alias("n2"), *[F.col(m).alias(f"{m}2") for m in marks])
-    stars = met.select(F.explode("pivots").alias("class2"), "class").where("class <> class2")
+    met = written(met.select(same.alias("sig"), "class").distinct())
+    release(spark)
+    lot = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "class"), "class")).over(bucket)["class"]
+    pivots = F.array_distinct(F.array(F.min("class").over(bucket), F.max("class").over(bucket), *[lot(i) for i in range(PIVOTS - 2)]))
+    stars = met.withColumn("pivots", pivots).select(F.explode("pivots").alias("class2"), "class").where("class <> class2")
     stars = stars.select(F.least("class", "class2").alias("class"), F.greatest("class", "class2").alias("class2")).distinct()
-    stars = written(stars.join(known, "class").join(second, "class2").where(_near(num, den)).select("class", "class2"))
-    links = written(verified(stars, base, known, n, num, den))
+    second = known.select(F.col("class").alias("class2"), F.col("n").alias("n2"), *[F.col(m).alias(f"{m}2") for m in marks])
+    stars = written(stars.join(known, "class").join(second, "class2").where(_near(num, den)).select("class", "class2", _differ().alias("differ")))
+    release(spark)
+
+    # First each class with its nearest pivot only, then those star pairs that still lie in two components.
+    ends = stars.unionByName(stars.select(F.col("class2").alias("class"), F.col("class").alias("class2"), "differ"))
+    nearest = ends.groupBy("class").agg(F.min_by("class2", F.struct("differ", "class2")).alias("class2"))
+    nearest = nearest.select(F.least("class", "class2").alias("class"), F.greatest("class", "class2").alias("class2")).distinct()
+    links = written(verified(written(nearest), base, known, n, num, den))
+    release(spark)
+    where = _placed(known, written(components(links)))
+    second = where.select(F.col("class").alias("class2"), F.col("component").alias("component2"))
+    apart = stars.join(where, "class").join(second, "class2").where("component <> component2").select("class", "class2")
+    links = written(links.unionByName(verified(written(apart.join(nearest, ["class", "class2"], "left_anti")), base, known, n, num, den)))
+    release(spark)
     found = written(components(links))
 
     # Buckets whose members are still in several components: compare those members with each other.
-    where = known.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
-    where = where.withColumn("component", F.coalesce("component", "node"))
-    members = met.join(where, "class")
-    members = members.withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket))
-    open_ = written(members.where(F.expr("lo <> hi") & ~F.array_contains("pivots", F.col("class"))).select("sig", "class", "component", "n", *marks))
+    where = _placed(known, found)
+    members = met.join(where, "class").withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket)).where("lo <> hi")
+    members = members.withColumn("pivots", pivots).where(~F.array_contains("pivots", F.col("class"))).select("sig", "class", "component")
+    open_ = written(members.join(known.drop("node"), "class"))
     other = open_.select("sig", *[F.col(c).alias(f"{c}2") for c in open_.columns if c != "sig"])
     rest = open_.join(other, "sig").where((F.col("class") < F.col("class2")) & (F.col("component") != F.col("component2")) & _near(num, den))
     rest = written(rest.select("class", "class2").distinct())
     more = written(verified(rest, base, known, n, num, den))
+    release(spark)
     final = components(links.unionByName(more)) if more.limit(1).count() else found
 
     names = known.select("class", "node").join(final.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("class", "component")
