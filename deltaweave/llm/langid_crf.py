@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaweave.llm.common import bounded_sample, held_out, table
+from deltaweave.llm.common import bounded_sample, give_back, held_out, table
 
 WORDS = re.compile(r"[^\W\d_]+")
 CHUNK = 128
@@ -256,6 +256,8 @@ def identify(docs: DataFrame, model: Crf, *, id_col: str = "doc_id", text_col: s
                 langs, scores = label(crf, b.column("_text").to_pylist())
                 own = [b.column(c) for c in ["_id", *kept]] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(own, ["_id", *kept, "_lang_pred", "_score"])
+        crf.reset()  # the worker may keep the model
+        give_back()
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     out = rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in ["_id", *kept]) + ", _lang_pred string, _score double")
