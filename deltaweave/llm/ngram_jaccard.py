@@ -7,7 +7,8 @@ more than d fragments at least one is equal in both, so each set sends one signa
 equality join on it. The number of fragments depends on a size level; a set takes part in its own level and in those of the larger
 sets it could link to. An empty fragment sends a signature only if a set has so few non-empty ones that it is needed.
 
-*Counts.* For a candidate pair each of `PARTS` ranges counts its partial overlap separately and the counts are summed for each pair.
+*Counts.* For a candidate pair each of `PARTS` ranges counts its partial overlap separately and the counts are summed for each pair. A
+pair's texts travel compressed and are cut into n-grams again where they meet, as hashes would take four times their place.
 
 Equal sets are one class before any pair is made. Within a signature's bucket all members are first paired with a few
 pivots only (stars); after components of those links are known, members of the bucket in different components are
@@ -27,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaweave.llm.common import release, table, written
+from deltaweave.llm.common import give_back, release, table, written
 from deltaweave.llm.components import components
 
 U64 = np.uint64
@@ -184,6 +186,7 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
             sets = ngram_sets(texts, n)
             marks = np.array([sketch(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed([class_of(s) for s in sets])), *[pa.array(marks[:, i]) for i in range(SKETCH)]], names)
+        give_back()
 
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
@@ -208,14 +211,16 @@ def sent_signatures(docs: DataFrame, n: int, levels: Levels) -> DataFrame:
                 sizes.append(len(own))
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sigs))), pa.array(np.repeat(_signed(names), sizes))], ["sig", "class"])
+        give_back()
 
     return docs.mapInArrow(run, "sig long, class long")
 
 
-def fragments(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """class, part, grams: the ranges of each wanted class (node: the id of its first document), read from that document's text.
+def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """class, packed: the compressed text of each wanted class's first document (node).
 
-    A bitmap of fixed size keeps texts of other documents from being cut up; the join makes it exact.
+    A compressed text takes about a quarter of its n-grams' hashes. A bitmap of fixed size keeps other documents' texts from being
+    cut up; the join makes it exact.
     """
     spark = docs.sparkSession
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
@@ -225,6 +230,7 @@ def fragments(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = np.unpackbits(sent.value).astype(bool)
+        pack = zstandard.ZstdCompressor().compress
 
         def chosen():
             for b in batches:
@@ -233,23 +239,34 @@ def fragments(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     yield b
 
         for ids, texts in _batches(chosen()):
-            nodes, names, parts, grams = [], [], [], []
-            for i, s in zip(ids, ngram_sets(texts, n)):
-                if not len(s):
-                    continue
-                bounds = np.searchsorted(s >> U64(61), np.arange(PARTS + 1).astype(U64))
-                c = int(_signed([class_of(s)])[0])
-                for p in range(PARTS):
-                    if bounds[p + 1] > bounds[p]:
-                        nodes.append(i)
-                        names.append(c)
-                        parts.append(p)
-                        grams.append(_signed(s[bounds[p] : bounds[p + 1]]))
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(names, pa.int64()), pa.array(parts, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["node", "class", "part", "grams"])
+            own = [(i, class_of(s), pack(t.encode("utf-8", "surrogatepass"))) for i, t, s in zip(ids, texts, ngram_sets(texts, n)) if len(s)]
+            if own:
+                nodes, names, packed = zip(*own)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(_signed(names)), pa.array(packed, pa.binary())], ["node", "class", "packed"])
+        give_back()
+
+    found = docs.where(F.col("doc_id").isNotNull()).withColumn("bit", bit("doc_id").cast("int")).mapInArrow(run, "node long, class long, packed binary")
+    return found.join(wanted.select("node", "class"), ["node", "class"], "left_semi").dropDuplicates(["node", "class"]).select("class", "packed")
 
-    cut = docs.where(F.col("doc_id").isNotNull()).withColumn("bit", bit("doc_id").cast("int")).mapInArrow(run, "node long, class long, part int, grams array<long>")
-    return cut.join(wanted.select("node", "class"), ["node", "class"], "left_semi").dropDuplicates(["node", "class", "part"])
+
+def partial_overlaps(pairs: DataFrame, n: int) -> DataFrame:
+    """class, class2, part, o: for each pair (class, class2, packed, packed2) the n-grams that both have in each of the `PARTS` ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                one, two, packed, packed2 = (c.to_pylist() for c in b.slice(lo, 64).columns)
+                texts = {c: unpack(z).decode("utf-8", "surrogatepass") for c, z in {**dict(zip(one, packed)), **dict(zip(two, packed2))}.items()}
+                sets: dict[int, np.ndarray] = {}
+                for names, own in _batches(iter([pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()), pa.string())], ["class", "text"])])):
+                    sets.update(zip(names, ngram_sets(own, n)))
+                counts = np.array([np.bincount((np.intersect1d(sets[x], sets[y], assume_unique=True) >> U64(61)).astype(np.int64), minlength=PARTS) for x, y in zip(one, two)])
+                row, part = np.nonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(one)[row], pa.int64()), pa.array(np.array(two)[row], pa.int64()), pa.array(part, pa.int32()), pa.array(counts[row, part], pa.int64())], ["class", "class2", "part", "o"])
+        give_back()
+
+    return pairs.select("class", "class2", "packed", "packed2").mapInArrow(run, "class long, class2 long, part int, o long")
 
 
 def _differ(a: str = "", b: str = "2"):
@@ -273,11 +290,9 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, num: i
     """Those of the pairs (class, class2) that link, as a, b (nodes). known: class, node, n."""
     ends = pairs.select("class").union(pairs.select("class2")).distinct()
     wanted = written(known.select("class", "node", "n").join(ends, "class", "left_semi"))
-    parts = written(fragments(docs, wanted, n).select("class", "part", "grams"))
-    one = parts.select("class", "part", F.col("grams").alias("g"))
-    two = parts.select(F.col("class").alias("class2"), "part", F.col("grams").alias("g2"))
-    both = pairs.join(one, "class").join(two, ["class2", "part"])
-    overlap = both.select("class", "class2", F.size(F.array_intersect("g", "g2")).alias("o")).groupBy("class", "class2").agg(F.sum("o").alias("o"))
+    texts = written(texts_of(docs, wanted, n))
+    both = pairs.join(texts, "class").join(texts.select(F.col("class").alias("class2"), F.col("packed").alias("packed2")), "class2")
+    overlap = partial_overlaps(both, n).groupBy("class", "class2").agg(F.sum("o").alias("o"))
     left = wanted.select("class", F.col("node").alias("a"), F.col("n").alias("n1"))
     right = wanted.select(F.col("class").alias("class2"), F.col("node").alias("b"), F.col("n").alias("n2"))
     sized = overlap.join(left, "class").join(right, "class2")
