@@ -151,7 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "two_hop_counts": _graph(_G, lambda g: statistics.curvature(g.alive)),
     "dominance_candidates": _graph(tables.click, lambda g: pruning.dominance(g.alive, WEDGE)),
     "compaction_alive": _graph(_G, lambda g: versions.compacted(g.versions).select("u", "v", "ins")),
-    "affected_vertices": _graph(_G, lambda g: versions.affected_vertices(g.eff.where(F.col("seq") <= 50), g.alive)),
+    "affected_vertices": _graph(_G, lambda g: versions.affected_vertices(g.eff, g.alive)),
 }
 
 # -- SQL ------------------------------------------------------------------------------------------------------------
