@@ -82,7 +82,7 @@ def ngram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     offsets = np.cumsum([0] + [len(r) + 1 for r in raw])
     cuts = np.searchsorted(starts, offsets)
     whole = np.zeros(len(words), U64)
-    for j in range(n):  # the gram that begins at each word; those that run over a text's end are not used
+    for j in range(min(n, len(words))):  # the gram that begins at each word; those that run over a text's end are not used
         whole[: len(words) - j] += words[j:] * (_STEP ** U64(j) if j else U64(1))
     grams = mix(whole)
     out = []

@@ -91,3 +91,13 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[300] == got[200] == got[100] == 100
+
+
+def test_slices_of_few_words(spark):
+    for text in ("", "a", "a b", "a b c", "a b c d", "a b c d e", "a b c d e f"):
+        for n in (1, 2, 3, 5, 9):
+            assert [len(x) for x in j.ngram_sets([text], n)] == [len(grams(text, n))], (text, n)
+            assert np.array_equal(j.ngram_sets([text], n)[0], j.ngram_sets([text, "x y z " * 9], n)[0])
+    for text in ("a b", "a b c"):  # one document in all, as a task's last slice may hold
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert [tuple(r) for r in j.link(df, n=5, num=80, den=100).collect()] == [(1, 1, 1)]
