@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from deltaweave.llm.common import written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of `links` (a, b: long).
 
     A large star hangs each node's larger neighbours on its smallest one; a small star does so with the smaller ones and
-    itself. The links end as stars around the smallest nodes after few rounds, even for long chains. Each round's links
-    are written to the shared folder; only two numbers reach the driver.
+    itself. The links end as stars around the smallest nodes after few rounds, even for long chains; rounds go on until
+    one changes nothing. Each round's links are written to the shared folder; only two numbers reach the driver.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

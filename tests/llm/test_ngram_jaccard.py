@@ -101,3 +101,9 @@ def test_slices_of_few_words(spark):
     for text in ("a b", "a b c"):  # one document in all, as a task's last slice may hold
         df = spark.createDataFrame([(1, text)], "doc_id long, text string")
         assert [tuple(r) for r in j.link(df, n=5, num=80, den=100).collect()] == [(1, 1, 1)]
+
+
+def test_components_go_on_until_settled(spark, monkeypatch):
+    monkeypatch.setitem(components.__globals__, "range", lambda *_: [0])  # no number of rounds may end them
+    links = [(i, i + 1) for i in range(40)]
+    assert {r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == {0}
