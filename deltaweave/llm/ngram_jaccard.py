@@ -1,14 +1,17 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is the order of their 64-bit hashes, and fragments are ranges of it. Two uses of fragments:
+The global order of n-grams is the order of their 64-bit hashes, and fragments are ranges of it. They are used three times:
 
 *Candidates.* Sets whose Jaccard similarity is t or more differ in at most d = (1 - t) / (1 + t) * (sum of sizes) n-grams. With
 more than d fragments at least one is equal in both, so each set sends one signature for each fragment, and pairs meet in an
 equality join on it. The number of fragments depends on a size level; a set takes part in its own level and in those of the larger
 sets it could link to. An empty fragment sends a signature only if a set has so few non-empty ones that it is needed.
 
-*Counts.* For a candidate pair each of `PARTS` ranges counts its partial overlap separately and the counts are summed for each pair. A
-pair's texts travel compressed and are cut into n-grams again where they meet, as hashes would take four times their place.
+*Bounds.* A set's sizes in `FINE` fragments bound a pair's overlap from above by the sum of the smaller ones; pairs below the threshold go.
+
+*Counts.* Each set of a pair that is left is cut into `PARTS` fragments, one row each. Pairs meet both sides' rows in equality joins on (class,
+fragment), which carry that fragment's n-grams only; partial overlaps are counted apart and summed for each pair. A class with many pairs
+(a pivot) has its rows dealt to one salt for each `FAN` pairs, so no key gathers more than that.
 
 Equal sets are one class before any pair is made. Within a signature's bucket all members are first paired with a few
 pivots only (stars); after components of those links are known, members of the bucket in different components are
@@ -18,8 +21,8 @@ every link is either found or joins what is already connected, and a group of th
 Words: A-Z lower-cased, `[^\\x20\\x09-\\x0D]+`. N-grams and classes are compared by 64-bit hashes.
 
 Defined cases: null texts and texts without words have no n-grams and link to nothing; with fewer than n words the whole sequence is
-the one n-gram; repeated rows are one class; rows with a null id link to nothing and have a null component; an
-empty table gives no rows; columns other than the two named ones are not read.
+the one n-gram; repeated rows are one class; rows with a null id link to nothing and have a null component; rows that share an id but not
+their text are judged each by its text; an empty table gives no rows; columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,9 +40,12 @@ from deltaweave.llm.components import components
 
 U64 = np.uint64
 SKETCH = 8  # longs
+FINE = 256
 PARTS = 8
 PIVOTS = 4
-FILTER_BITS = 1 << 20
+FAN = 64
+#: Most bits of the filter of wanted documents: 8 MB, whatever the corpus.
+FILTER_BITS = 1 << 26
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -118,6 +123,10 @@ class Levels:
             # Some more than d + 1, so that empty fragments are hardly ever needed.
             self.parts.append(d + 1 if d == 0 else d + 3 + d * (self.den - self.num) // (2 * self.den))
 
+    def most_differ(self, size: int) -> int:
+        """Most n-grams by which a set can differ from any that it links to: the largest of those is the worst."""
+        return (size + size * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+
     def of(self, size: int) -> list[int]:
         """A set's own level and those of larger sets that it could link to."""
         largest = size * self.den // self.num
@@ -142,7 +151,7 @@ def signatures(grams: np.ndarray, levels: Levels) -> np.ndarray:
         sizes = np.diff(bounds)
         own = mix(mixed[bounds[1:]] - mixed[bounds[:-1]] + (np.arange(parts).astype(U64) << U64(20)) + U64(level << 52) + sizes.astype(U64) * _STEP)
         full = sizes > 0
-        out.append(own if full.sum() <= levels.differ[level] else own[full])
+        out.append(own if full.sum() <= min(levels.differ[level], levels.most_differ(len(grams))) else own[full])
     return np.concatenate(out) if out else np.empty(0, U64)
 
 
@@ -157,19 +166,19 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[tuple[list, list]]:
-    """Ids and texts, about `most` characters at a time."""
+def _batches(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[tuple[list, list, list]]:
+    """Ids, texts and a third column, about `most` characters at a time."""
     for b in batches:
         for lo in range(0, b.num_rows, 64):
             part = b.slice(lo, 64)
-            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            ids, texts, others = (part.column(i).to_pylist() for i in range(3))
             at = 0
             while at < len(ids):
                 size, end = 0, at
                 while end < len(ids) and (end == at or size + len(texts[end] or "") <= most):
                     size += len(texts[end] or "")
                     end += 1
-                yield ids[at:end], texts[at:end]
+                yield ids[at:end], texts[at:end], others[at:end]
                 at = end
 
 
@@ -178,26 +187,31 @@ def _signed(x) -> np.ndarray:
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n, class, s0.. (the sketch)."""
-    names = ["doc_id", "n", "class", *[f"s{i}" for i in range(SKETCH)]]
+    """doc_id, t (the text's hash), n, class, s0.. (the sketch), sizes (of the fine fragments)."""
+    names = ["doc_id", "t", "n", "class", *[f"s{i}" for i in range(SKETCH)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _batches(batches):
+        for ids, texts, hashes in _batches(batches):
             sets = ngram_sets(texts, n)
             marks = np.array([sketch(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed([class_of(s) for s in sets])), *[pa.array(marks[:, i]) for i in range(SKETCH)]], names)
+            sizes = [np.bincount((s >> U64(56)).astype(np.int64), minlength=FINE) for s in sets]
+            fine = pa.array([x.astype(np.int16) if x.max() < 1 << 15 else None for x in sizes], pa.list_(pa.int16()))  # none: not bounded
+            own = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed([class_of(s) for s in sets])), *[pa.array(marks[:, i]) for i in range(SKETCH)]]
+            yield pa.RecordBatch.from_arrays([*own, fine], [*names, "sizes"])
         give_back()
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select("doc_id", "text", "t").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", sizes array<smallint>")
 
 
 def sent_signatures(docs: DataFrame, n: int, levels: Levels) -> DataFrame:
-    """sig, class; a class once for each task."""
+    """sig, class; classes seen lately in the same task are not sent again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for ids, texts in _batches(batches):
+        for _, texts, _ in _batches(batches):
             sigs, names, sizes = [], [], []
+            if len(seen) > 100_000:
+                seen.clear()
             for s in ngram_sets(texts, n):
                 if not len(s):
                     continue
@@ -213,60 +227,63 @@ def sent_signatures(docs: DataFrame, n: int, levels: Levels) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sigs))), pa.array(np.repeat(_signed(names), sizes))], ["sig", "class"])
         give_back()
 
-    return docs.mapInArrow(run, "sig long, class long")
+    return docs.select("doc_id", "text", "t").mapInArrow(run, "sig long, class long")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """class, packed: the compressed text of each wanted class's first document (node).
+def fragments_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """class, part, grams: the n-grams of each wanted class (class, node, fan) in each of the `PARTS` ranges, with the class's fan.
 
-    A compressed text takes about a quarter of its n-grams' hashes. A bitmap of fixed size keeps other documents' texts from being
-    cut up; the join makes it exact.
+    A bitmap, sized by the number of wanted documents up to a fixed most, keeps other documents' texts from being cut up; the
+    join makes it exact.
     """
     spark = docs.sparkSession
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[[r[0] for r in wanted.select(bit("node").cast("int")).distinct().toLocalIterator()]] = True
-    sent = spark.sparkContext.broadcast(np.packbits(bits))  # FILTER_BITS / 8 bytes
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (8 * wanted.count()).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    filled = wanted.select(bit("node").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[np.asarray(filled["word"])] = np.asarray(filled["bits"])
+    sent = spark.sparkContext.broadcast(words)  # at most FILTER_BITS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.unpackbits(sent.value).astype(bool)
-        pack = zstandard.ZstdCompressor().compress
+        asked = sent.value
 
         def chosen():
             for b in batches:
-                b = b.filter(pa.array(asked[np.asarray(b.column(2))]))
+                at = np.asarray(b.column(2))
+                b = b.filter(pa.array((asked[at >> 6] >> (at & 63) & 1).astype(bool)))
                 if b.num_rows:
                     yield b
 
-        for ids, texts in _batches(chosen()):
-            own = [(i, class_of(s), pack(t.encode("utf-8", "surrogatepass"))) for i, t, s in zip(ids, texts, ngram_sets(texts, n)) if len(s)]
-            if own:
-                nodes, names, packed = zip(*own)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(_signed(names)), pa.array(packed, pa.binary())], ["node", "class", "packed"])
+        for ids, texts, _ in _batches(chosen()):
+            nodes, names, parts, grams = [], [], [], []
+            for i, s in zip(ids, ngram_sets(texts, n)):
+                if len(s):
+                    bounds = np.searchsorted(s, np.arange(1, PARTS).astype(U64) << U64(61))
+                    own = [x for x in enumerate(np.split(s, bounds)) if len(x[1])]
+                    nodes += [i] * len(own)
+                    names += [class_of(s)] * len(own)
+                    parts += [p for p, _ in own]
+                    grams += [g for _, g in own]
+            if nodes:
+                ends = np.cumsum([0] + [len(g) for g in grams]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(grams))))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(_signed(names)), pa.array(parts, pa.int32()), lists], ["node", "class", "part", "grams"])
         give_back()
 
-    found = docs.where(F.col("doc_id").isNotNull()).withColumn("bit", bit("doc_id").cast("int")).mapInArrow(run, "node long, class long, packed binary")
-    return found.join(wanted.select("node", "class"), ["node", "class"], "left_semi").dropDuplicates(["node", "class"]).select("class", "packed")
-
+    found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(run, "node long, class long, part int, grams array<long>")
+    # A repeated row or two texts of one id and class give equal rows: the first is taken.
+    return found.join(wanted, ["node", "class"]).groupBy("class", "part").agg(F.first("fan").alias("fan"), F.first("grams").alias("grams"))
 
-def partial_overlaps(pairs: DataFrame, n: int) -> DataFrame:
-    """class, class2, part, o: for each pair (class, class2, packed, packed2) the n-grams that both have in each of the `PARTS` ranges."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                one, two, packed, packed2 = (c.to_pylist() for c in b.slice(lo, 64).columns)
-                texts = {c: unpack(z).decode("utf-8", "surrogatepass") for c, z in {**dict(zip(one, packed)), **dict(zip(two, packed2))}.items()}
-                sets: dict[int, np.ndarray] = {}
-                for names, own in _batches(iter([pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()), pa.string())], ["class", "text"])])):
-                    sets.update(zip(names, ngram_sets(own, n)))
-                counts = np.array([np.bincount((np.intersect1d(sets[x], sets[y], assume_unique=True) >> U64(61)).astype(np.int64), minlength=PARTS) for x, y in zip(one, two)])
-                row, part = np.nonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(one)[row], pa.int64()), pa.array(np.array(two)[row], pa.int64()), pa.array(part, pa.int32()), pa.array(counts[row, part], pa.int64())], ["class", "class2", "part", "o"])
-        give_back()
 
-    return pairs.select("class", "class2", "packed", "packed2").mapInArrow(run, "class long, class2 long, part int, o long")
+def partial_overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """class, class2, part, o: for each pair (class, class2, fan, fan2) the n-grams that both have in each fragment they share."""
+    salted = lambda other, fan: F.pmod(F.xxhash64(other), F.col(fan))
+    rows = fragments.select("class", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)).alias("salt"), "grams")
+    asked = pairs.select("class", "class2", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), salted("class2", "fan").alias("salt"), salted("class", "fan2").alias("salt2"))
+    one = asked.join(rows, ["class", "part", "salt"])
+    other = rows.select(F.col("class").alias("class2"), "part", F.col("salt").alias("salt2"), F.col("grams").alias("grams2"))
+    met = one.join(other, ["class2", "part", "salt2"])
+    return met.select("class", "class2", "part", F.size(F.array_intersect("grams", "grams2")).cast("long").alias("o"))
 
 
 def _differ(a: str = "", b: str = "2"):
@@ -276,7 +293,7 @@ def _differ(a: str = "", b: str = "2"):
 
 def _placed(known: DataFrame, found: DataFrame) -> DataFrame:
     """class, component; a class without a link is its own."""
-    return known.select("class", "node").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("class", F.coalesce("component", "node").alias("component"))
+    return known.select("class").join(found.withColumnRenamed("node", "_n"), F.col("class") == F.col("_n"), "left").select("class", F.coalesce("component", "class").alias("component"))
 
 
 def _near(num: int, den: int, a: str = "", b: str = "2"):
@@ -286,27 +303,48 @@ def _near(num: int, den: int, a: str = "", b: str = "2"):
     return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (differ * (den + num) <= (n1 + n2) * (den - num))
 
 
+def _possible(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """class, class2 of those pairs whose fine fragments' sizes allow a link."""
+    one = known.select("class", F.col("n").alias("n1"), F.col("sizes").alias("sizes1"))
+    two = known.select(F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("sizes").alias("sizes2"))
+    most = F.aggregate(F.zip_with("sizes1", "sizes2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    enough = most * (den + num) >= (F.col("n1") + F.col("n2")) * num
+    return pairs.join(one, "class").join(two, "class2").where(F.coalesce(enough, F.lit(True))).select("class", "class2")
+
+
+def pivots_of(met: DataFrame) -> DataFrame:
+    """sig, pivots: the smallest, the largest and some drawn members of each bucket."""
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "class"), "class"))["class"] for i in range(PIVOTS - 2)]
+    return met.groupBy("sig").agg(F.array_distinct(F.array(F.min("class"), F.max("class"), *drawn)).alias("pivots"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (class, class2) that link, as a, b (nodes). known: class, node, n."""
-    ends = pairs.select("class").union(pairs.select("class2")).distinct()
-    wanted = written(known.select("class", "node", "n").join(ends, "class", "left_semi"))
-    texts = written(texts_of(docs, wanted, n))
-    both = pairs.join(texts, "class").join(texts.select(F.col("class").alias("class2"), F.col("packed").alias("packed2")), "class2")
-    overlap = partial_overlaps(both, n).groupBy("class", "class2").agg(F.sum("o").alias("o"))
-    left = wanted.select("class", F.col("node").alias("a"), F.col("n").alias("n1"))
-    right = wanted.select(F.col("class").alias("class2"), F.col("node").alias("b"), F.col("n").alias("n2"))
-    sized = overlap.join(left, "class").join(right, "class2")
-    return sized.where(F.col("o") * den >= (F.col("n1") + F.col("n2") - F.col("o")) * num).select("a", "b")
-
-
-def link(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row: documents whose sets have a similarity of num / den or more are linked."""
+    """Those of the pairs (class, class2) that link, as a, b. known: class, node, n, sizes."""
+    pairs = written(_possible(pairs, known, num, den))
+    ends = pairs.select("class").unionAll(pairs.select(F.col("class2").alias("class"))).groupBy("class").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("fan"))
+    wanted = written(known.select("class", "node", "n").join(ends, "class"))
+    fragments = written(fragments_of(docs, wanted.select("class", "node", "fan"), n))
+    left = wanted.select("class", F.col("n").alias("n1"), "fan")
+    right = wanted.select(F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("fan").alias("fan2"))
+    sized = written(pairs.join(left, "class").join(right, "class2"))
+    overlap = partial_overlaps(sized, fragments).groupBy("class", "class2").agg(F.sum("o").alias("o"))
+    met = sized.join(overlap, ["class", "class2"])
+    return met.where(F.col("o") * den >= (F.col("n1") + F.col("n2") - F.col("o")) * num).select(F.col("class").alias("a"), F.col("class2").alias("b"))
+
+
+def link(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row: documents whose sets of n-grams have a similarity of num / den or more are linked."""
+    return linked_texts(docs, **options).drop("t")
+
+
+def linked_texts(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and t, the text's hash."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     levels = Levels(num, den)
     rows = written(classes(base, n))
     marks = [f"s{i}" for i in range(SKETCH)]
-    known = written(rows.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in marks]))
+    known = written(rows.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in [*marks, "sizes"]]))
 
     bucket = W.partitionBy("sig")
     met = sent_signatures(base.where("doc_id is not null"), n, levels).withColumn("lo", F.min("class").over(bucket)).withColumn("hi", F.max("class").over(bucket)).where("lo <> hi")
@@ -314,12 +352,11 @@ def link(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, id_col:
     same = F.xxhash64(F.bit_xor(F.xxhash64("class")).over(bucket), F.bit_xor(F.xxhash64(F.lit(7), "class")).over(bucket), F.count(F.lit(1)).over(bucket))
     met = written(met.select(same.alias("sig"), "class").distinct())
     release(spark)
-    lot = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "class"), "class")).over(bucket)["class"]
-    pivots = F.array_distinct(F.array(F.min("class").over(bucket), F.max("class").over(bucket), *[lot(i) for i in range(PIVOTS - 2)]))
-    stars = met.withColumn("pivots", pivots).select(F.explode("pivots").alias("class2"), "class").where("class <> class2")
+    # Partial aggregates find a bucket's pivots, so a hot bucket is not gathered; its rows meet them in a join that can be split.
+    stars = met.join(written(pivots_of(met)), "sig").select(F.explode("pivots").alias("class2"), "class").where("class <> class2")
     stars = stars.select(F.least("class", "class2").alias("class"), F.greatest("class", "class2").alias("class2")).distinct()
     second = known.select(F.col("class").alias("class2"), F.col("n").alias("n2"), *[F.col(m).alias(f"{m}2") for m in marks])
-    stars = written(stars.join(known, "class").join(second, "class2").where(_near(num, den)).select("class", "class2", _differ().alias("differ")))
+    stars = written(stars.join(known.drop("sizes"), "class").join(second, "class2").where(_near(num, den)).select("class", "class2", _differ().alias("differ")))
     release(spark)
 
     # First each class with its nearest pivot only, then those star pairs that still lie in two components.
@@ -337,9 +374,11 @@ def link(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, id_col:
 
     # Buckets whose members are still in several components: compare those members with each other.
     where = _placed(known, found)
-    members = met.join(where, "class").withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket)).where("lo <> hi")
-    members = members.withColumn("pivots", pivots).where(~F.array_contains("pivots", F.col("class"))).select("sig", "class", "component")
-    open_ = written(members.join(known.drop("node"), "class"))
+    members = written(met.join(where, "class"))
+    split = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    members = written(members.join(written(split.select("sig")), "sig", "left_semi"))
+    members = members.join(written(pivots_of(members)), "sig").where(~F.array_contains("pivots", F.col("class"))).select("sig", "class", "component")
+    open_ = written(members.join(known.drop("node", "sizes"), "class"))
     other = open_.select("sig", *[F.col(c).alias(f"{c}2") for c in open_.columns if c != "sig"])
     rest = open_.join(other, "sig").where((F.col("class") < F.col("class2")) & (F.col("component") != F.col("component2")) & _near(num, den))
     rest = written(rest.select("class", "class2").distinct())
@@ -347,22 +386,24 @@ def link(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, id_col:
     release(spark)
     final = components(links.unionByName(more)) if more.limit(1).count() else found
 
-    names = known.select("class", "node").join(final.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("class", "component")
-    out = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
-    single = known.select("class", "node")
-    labelled = single.join(names, "class", "left").select("class", F.coalesce("component", "node").alias("component_id"))
-    return out.join(labelled, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = written(_placed(known, final).join(known.select("class", "node"), "class"))
+    least = placed.groupBy("component").agg(F.min("node").alias("component_id"))
+    labelled = placed.join(least, "component").select("class", "component_id")
+    out = rows.select("doc_id", "t", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
+    return out.join(labelled, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "t")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs`, of each group of linked documents only the one with the smallest id; rows with a null id stay."""
-    linked = link(docs, id_col=id_col, **options)
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, of each group of linked documents only the one with the smallest id, once for each of its texts; rows with a null id stay."""
+    linked = linked_texts(docs, id_col=id_col, text_col=text_col, **options)
     # Only the dropped ids are joined: they are fewer, and small enough sets are broadcast by their measured size.
-    dropped = written(linked.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct())
+    dropped = written(linked.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped"), F.col("t").alias("_t")).distinct())
     repeated = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+    hashed = F.xxhash64(docs[text_col])
+    out = docs.join(dropped, (docs[id_col] == F.col("_dropped")) & (hashed == F.col("_t")), "left_anti")
     if repeated:
-        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+        once = out.where(F.col(id_col).isNotNull()).withColumn("_t", F.xxhash64(text_col)).dropDuplicates([id_col, "_t"]).drop("_t")
+        out = once.unionByName(out.where(F.col(id_col).isNull()))
     return out
 
 

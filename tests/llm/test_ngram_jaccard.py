@@ -87,6 +87,39 @@ def test_linked_sets_share_a_signature():
             assert np.unpackbits((j.sketch(a) ^ j.sketch(b)).view(np.uint8)).sum() <= differ
 
 
+def test_one_id_on_two_texts(spark):
+    near = " ".join(f"w{i}" for i in range(100))
+    rows = [(3, near), (5, near + " x"), (5, "something else of its own here"), (5, "something else of its own here"), (None, near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = j.one_of_each(df, n=5, num=80, den=100).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, near), (3, near), (5, "something else of its own here")])
+
+
+def test_pivot_with_many_members(spark, monkeypatch):
+    monkeypatch.setattr(j, "FAN", 3)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(rng, words, 1))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in j.link(df).collect()} == brute(rows, 3, 90, 100)
+
+
+def test_partial_overlaps_sum_to_the_whole(spark):
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 120))) for i in range(6)], "doc_id long, text string")
+    sets = {r.doc_id: j.ngram_sets([r.text], 1)[0] for r in docs.collect()}
+    name = {i: int(np.uint64(j.class_of(s)).astype(np.int64)) for i, s in sets.items()}
+    fan = 2
+    wanted = spark.createDataFrame([(c, i, fan) for i, c in name.items()], "class long, node long, fan long")
+    pairs = spark.createDataFrame([(name[a], name[b], fan, fan) for a, b in combinations(sets, 2)], "class long, class2 long, fan long, fan2 long")
+    met = j.partial_overlaps(pairs, j.fragments_of(docs, wanted, 1)).collect()
+    for a, b in combinations(sets, 2):
+        own = [r for r in met if (r["class"], r.class2) == (name[a], name[b])]
+        both = np.intersect1d(sets[a], sets[b])
+        assert len({r.part for r in own}) == len(own)
+        assert {r.part: r.o for r in own if r.o} == dict(zip(*[x.tolist() for x in np.unique((both >> np.uint64(61)).astype(int), return_counts=True)]))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
