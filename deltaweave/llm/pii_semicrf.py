@@ -1,14 +1,15 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds what they miss.
 
 Base spans come from four patterns with their checks (parts of an address up to 255, Luhn, digit counts). Between
-them, zones of text that hold digits or an at-sign are cut into tokens, every run of tokens that could be an entity (at most
-`MOST` tokens) becomes a candidate segment for each type it fits, and features of the whole segment score it: form of its
-separators, digit count, checks passed, cue words before it, what touches it. Dynamic programming over the zone chooses
+them, zones of text around digits, at-signs and spelled-out ones (a bracketed "at", or the word before a dotted name) are cut into
+tokens, every run of tokens that could be an entity (at most `MOST` that aren't blanks) becomes a candidate segment for each type it
+fits, and features of the whole segment score it: form of its separators, digit count, checks passed, cue words before it, what touches it.
+No type can match a text without such a place, and zones end at blanks, so nothing else needs scoring. Dynamic programming over the zone chooses
 boundaries and types together; a segment is added if its posterior reaches `sure` and it doesn't touch
 a base span.
 
-The field is trained by conditional likelihood on zones of about `sample` texts (chosen by a hash of
-their id, at most `most_chars` long), with base spans as entities and rewritten base spans (spelled-out at-signs, other separators, missing plus)
+The field is trained by conditional likelihood on zones (at most `2 * most_zones` examples, each of at most `zone_chars` characters and
+`zone_segments` candidates; these bound the fit only) of about `sample` texts (chosen by a hash of their id, at most `most_chars` long), with base spans as entities and rewritten base spans (spelled-out at-signs, other separators, missing plus)
 as further examples. Scoring is one pass over whole texts without a shuffle; memory is a zone's.
 
 Defined cases: null texts are empty and have no spans; repeated rows get equal spans; an empty table gives no rows; without any
@@ -37,7 +38,11 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-_TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|AT)[\])]")
+#: Where an entity can be: no form that `fits` admits is without one of these.
+_TRIGGER = re.compile(r"[0-9@]|[\[(] ?[aA][tT] ?[\])]|(?<= )[aA][tT] (?=[A-Za-z0-9-]+(?:\.[A-Za-z]| ?[\[(]? ?[dD][oO][tT]\b))")
+_AT = re.compile(r"[\[(] ?at ?[\])]| at ", re.I)
+_SPELLED = re.compile(r"[a-z0-9._%+-]+(?: ?[\[(] ?at ?[\])] ?| at |@)[a-z0-9-]+(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[a-z0-9-]+)+", re.I)
+_DOT = re.compile(r" ?[\[(]? ?dot ?[\])]? ?[a-z]", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 MOST, REACH = 16, 40
 #: Words that announce an entity. Fixed values.
@@ -53,6 +58,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _part(digits: str) -> bool:
+    """Whether a part of an address is at most 255, however many zeros lead it."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Matches of the patterns, leftmost and not overlapping for each kind; failing ones are dropped."""
     out: list[Span] = []
@@ -65,7 +76,7 @@ def base_spans(text: str) -> list[Span]:
             free = m.end()
             out.append((EMAIL, start, free))
         at = text.find("@", at + 1)
-    out += [(IP, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(IP, *m.span()) for m in _IP.finditer(text) if all(_part(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         digits = re.sub("[ -]", "", m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -76,7 +87,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def zones(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
-    """Ranges around digits and at-signs, outside the spans `taken`."""
+    """Ranges around places where an entity can be, outside the spans `taken`; they end at blanks, so no word is cut."""
     found: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         if found and m.start() - found[-1][1] <= REACH:
@@ -84,8 +95,16 @@ def zones(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
         else:
             found.append([m.start(), m.end()])
     held = sorted((s, e) for _, s, e in taken)
+    done = 0
     for lo, hi in found:
         lo, hi = max(0, lo - REACH), min(len(text), hi + REACH)
+        if hi <= done:  # the zone before has grown over it
+            continue
+        while lo > done and not text[lo - 1].isspace():
+            lo -= 1
+        while hi < len(text) and not text[hi].isspace():
+            hi += 1
+        lo, done = max(lo, done), hi
         at = lo
         for s, e in held:
             if e <= at or s >= hi:
@@ -97,10 +116,15 @@ def zones(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
             yield at, hi
 
 
+def _scored(zone: str) -> bool:
+    """Whether any type could match in the zone: all but e-mails have four digits or more."""
+    return "@" in zone or _AT.search(zone) is not None or sum(c in "0123456789" for c in zone) >= 4
+
+
 def fits(kind: int, text: str) -> bool:
     """Whether a segment could be of the type at all."""
     if kind == EMAIL:
-        return len(text) > 5 and ("@" in text or " at " in text or re.search(r"[\[(]at[\])]", text, re.I) is not None) and ("." in text or "dot" in text.lower()) and not text[0].isspace()
+        return len(text) > 5 and ("@" in text or _AT.search(text) is not None) and ("." in text or "dot" in text.lower()) and not text[0].isspace()
     n = sum(c in "0123456789" for c in text)
     if not text[-1].isdigit() or not (text[0].isdigit() or text[0] in "+("):
         return False
@@ -113,7 +137,7 @@ def fits(kind: int, text: str) -> bool:
 
 def shape(text: str) -> str:
     """Runs of letters and digits by size, separators as they are."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: str(min(len(m.group()), 9)), text.lower()))[:24]
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: str(min(len(m.group()), 9)), text.lower()))
 
 
 def segment_features(kind: int, zone: str, lo: int, hi: int) -> list[str]:
@@ -121,9 +145,9 @@ def segment_features(kind: int, zone: str, lo: int, hi: int) -> list[str]:
     before, after = zone[max(0, lo - 24) : lo], zone[hi : hi + 2]
     digits = "".join(c for c in text if c in "0123456789")
     k = KINDS[kind]
-    out = [k, f"{k} n{len(digits)}", f"{k} sep {''.join(sorted(set(re.sub(r'[^\W_]', '', text))))}"]
+    out = [k, f"{k} sep {''.join(sorted(set(re.sub(r'[^\W_]', '', text))))}"]
     if kind != EMAIL:
-        out.append(f"{k} shape {shape(text)}")
+        out += [f"{k} n{len(digits)}", f"{k} shape {shape(text)}"]
     if before and (before[-1].isalnum() or before[-1] in "_+/="):
         out.append(f"{k} joined before")
     elif before and before[-1] in ".-#$*%&" and not before[-1].isspace():
@@ -141,7 +165,8 @@ def segment_features(kind: int, zone: str, lo: int, hi: int) -> list[str]:
     elif kind == PHONE:
         out += [f"phone plus {text[0] == '+'}", f"phone lines {chr(10) in text}", f"phone card {13 <= len(digits) <= 19 and luhn(digits)}"]
     else:
-        out += [f"email at {text.count('@')}", f"email spaces {min(3, len(text.split()) - 1)}", f"email end {bool(re.search(r'(?:[.]|dot[])]?) ?[A-Za-z]{2,6}$', text))}", f"email line {chr(10) in text}"]
+        out += [f"email form {_SPELLED.fullmatch(text) is not None}", f"email dot after {_DOT.match(zone, hi) is not None}"]
+        out += [f"email at {text.count('@')}", f"email spaces {min(7, len(text.split()) - 1)}", f"email end {bool(re.search(r'(?:[.]|dot[])]?) ?[A-Za-z]{2,6}$', text))}", f"email line {chr(10) in text}"]
     return out
 
 
@@ -153,9 +178,13 @@ def lattice(zone: str) -> tuple[list[int], list[tuple[int, int, int]]]:
     for i in range(n):
         if zone[bounds[i]].isspace():
             continue
-        for j in range(i + 1, min(n, i + MOST) + 1):
+        held = 0
+        for j in range(i + 1, n + 1):
             if zone[bounds[j] - 1].isspace():
                 continue
+            held += 1
+            if held > MOST:
+                break
             text = zone[bounds[i] : bounds[j]]
             out += [(k, i, j) for k in range(4) if fits(k, text)]
     return bounds, out
@@ -164,7 +193,7 @@ def lattice(zone: str) -> tuple[list[int], list[tuple[int, int, int]]]:
 class SemiCrf:
     """Weights by feature; a token outside scores 0."""
 
-    def __init__(self, weights: dict[str, float] | None = None, sure: float = 0.9):
+    def __init__(self, weights: dict[str, float] | None = None, sure: float = 0.75):
         self.weights, self.sure = weights or {}, sure
 
     def scored(self, zone: str) -> tuple[list[int], list[tuple[int, int, int, float, list[str]]]]:
@@ -225,7 +254,7 @@ class SemiCrf:
         if self.weights:
             for lo, hi in zones(text, base):
                 zone = text[lo:hi]
-                if "@" in zone or "[" in zone or "(" in zone or sum(c in "0123456789" for c in zone) >= 4:
+                if _scored(zone):
                     out += [(k, lo + s, lo + e, False) for k, s, e in self.best(zone)]
         return sorted(out)
 
@@ -249,19 +278,21 @@ def rewritten(kind: int, text: str, rng: random.Random) -> str:
     return f"({digits[:3]}) {digits[3:6]}-{digits[6:]}" if rng.random() < 0.5 else f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"
 
 
-def fit(texts: list[str], *, rounds: int = 6, rate: float = 0.3, ridge: float = 1e-3, most_zones: int = 600, seed: int = 3) -> SemiCrf:
+def fit(texts: list[str], *, rounds: int = 8, rate: float = 0.3, ridge: float = 1e-3, most_zones: int = 600, zone_chars: int = 600, zone_segments: int = 400, seed: int = 3) -> SemiCrf:
     rng = random.Random(seed)
     examples: list[tuple[str, set[Span]]] = []
     plain = 0
     for text in texts:
+        if len(examples) >= 2 * most_zones:
+            break
         base = [s for s in base_spans(text)]
         apart = [s for s in base if not any(o != s and o[1] < s[2] and s[1] < o[2] for o in base)]
         for lo, hi in zones(text, []):
             own = [(k, s - lo, e - lo) for k, s, e in apart if lo <= s and e <= hi]
-            if len(own) != sum(1 for _, s, e in base if s < hi and e > lo) or hi - lo > 600:
+            if len(own) != sum(1 for _, s, e in base if s < hi and e > lo) or hi - lo > zone_chars:
                 continue
             if not own:
-                if sum(c in "0123456789" for c in text[lo:hi]) < 4 or plain > most_zones // 2:
+                if not _scored(text[lo:hi]) or plain > most_zones // 2:
                     continue
                 plain += 1
             examples.append((text[lo:hi], set(own)))
@@ -271,16 +302,15 @@ def fit(texts: list[str], *, rounds: int = 6, rate: float = 0.3, ridge: float =
                     cue = rng.choice(["", "", rng.choice(CUES[k]) + ": "])
                     head = text[lo : lo + s] + cue
                     examples.append((head + new + text[lo + e : hi], {(k, len(head), len(head) + len(new))}))
-            if len(examples) >= 2 * most_zones:
-                break
     if not any(g for _, g in examples):
         return SemiCrf()
-    model = SemiCrf({f"{k}": -1.0 for k in KINDS})
+    # Where learning begins: entities are rare, and a spelled-out address is a whole one.
+    model = SemiCrf({k: -1.0 for k in KINDS} | {"email form False": -3.0, "email dot after True": -3.0, "email form True": 2.0})
     w = model.weights
     ready = []
     for zone, gold in examples:
         bounds, segments = lattice(zone)
-        if not segments or len(segments) > 400:
+        if not segments or len(segments) > zone_segments:
             continue
         ready.append((len(bounds) - 1, [(k, i, j, segment_features(k, zone, bounds[i], bounds[j]), (k, bounds[i], bounds[j]) in gold) for k, i, j in segments]))
     for r in range(rounds):
@@ -356,4 +386,5 @@ def op5_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
+    return found.select("doc_id", *map(count, KINDS), added, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
