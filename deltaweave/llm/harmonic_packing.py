@@ -185,9 +185,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
                         if full:
                             size += place(full)
                         start += n
-                    if size > 4_000_000:
-                        yield flush()
-                        size = 0
+                        if size > 4_000_000:  # within a document too: a very long one leaves piece by piece
+                            yield flush()
+                            size = 0
         for bin_ in packer.finish():
             place(bin_)
         yield flush()
