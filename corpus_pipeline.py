@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the next
 stage's documents. All stages but the last return the columns of `documents`.
+
+Defined cases, in every stage: an empty table gives no rows; columns other than those of `documents` are not carried; very long texts
+are read whole. Null or empty texts and texts without a letter have no language and go in the first stage; rows with a null id stay
+in all stages but are not linked to others. Repeated rows (same id and text) become one in the second stage; of rows that share an
+id but not their text each is judged by its text. Of linked documents (ties included) the smallest id stays. Null languages are
+filled in, null sources are one source of the mix.
 """
 
 from __future__ import annotations
