@@ -19,9 +19,11 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
+        # Written before its join, so that a hub's rows there can be split.
+        least = written(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.min("a")).alias("m")))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = written(large)
+        low = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
         small = large.join(low, F.col("a") == F.col("u"))
         hung = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = written(hung.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())

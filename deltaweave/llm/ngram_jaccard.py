@@ -195,12 +195,12 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
             sets = ngram_sets(texts, n)
             marks = np.array([sketch(s) for s in sets])
             sizes = [np.bincount((s >> U64(56)).astype(np.int64), minlength=FINE) for s in sets]
-            fine = pa.array([x.astype(np.int16) if x.max() < 1 << 15 else None for x in sizes], pa.list_(pa.int16()))  # none: not bounded
+            fine = pa.array([x.astype(np.int8) if x.max() < 128 else None for x in sizes], pa.list_(pa.int8()))  # none: not bounded
             own = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed([class_of(s) for s in sets])), *[pa.array(marks[:, i]) for i in range(SKETCH)]]
             yield pa.RecordBatch.from_arrays([*own, fine], [*names, "sizes"])
         give_back()
 
-    return docs.select("doc_id", "text", "t").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", sizes array<smallint>")
+    return docs.select("doc_id", "text", "t").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", sizes array<tinyint>")
 
 
 def sent_signatures(docs: DataFrame, n: int, levels: Levels) -> DataFrame:
@@ -231,13 +231,13 @@ def sent_signatures(docs: DataFrame, n: int, levels: Levels) -> DataFrame:
 
 
 def fragments_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """class, part, grams: the n-grams of each wanted class (class, node, fan) in each of the `PARTS` ranges, with the class's fan.
+    """class, part, grams: the n-grams of each wanted class (class, node) in each of the `PARTS` ranges.
 
-    A bitmap, sized by the number of wanted documents up to a fixed most, keeps other documents' texts from being cut up; the
-    join makes it exact.
+    A bitmap, sized by the number of wanted documents up to a fixed most, keeps other documents' texts from being cut up. It lets a few
+    others through: of other classes, which meet no pair, or of the same class, whose equal rows `verified` counts once.
     """
     spark = docs.sparkSession
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (8 * wanted.count()).bit_length()))
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (32 * wanted.count()).bit_length()))
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     filled = wanted.select(bit("node").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.int64)
@@ -254,31 +254,33 @@ def fragments_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 if b.num_rows:
                     yield b
 
-        for ids, texts, _ in _batches(chosen()):
-            nodes, names, parts, grams = [], [], [], []
-            for i, s in zip(ids, ngram_sets(texts, n)):
+        for _, texts, _ in _batches(chosen()):
+            names, parts, grams = [], [], []
+            for s in ngram_sets(texts, n):
                 if len(s):
                     bounds = np.searchsorted(s, np.arange(1, PARTS).astype(U64) << U64(61))
                     own = [x for x in enumerate(np.split(s, bounds)) if len(x[1])]
-                    nodes += [i] * len(own)
                     names += [class_of(s)] * len(own)
                     parts += [p for p, _ in own]
                     grams += [g for _, g in own]
-            if nodes:
+            if names:
                 ends = np.cumsum([0] + [len(g) for g in grams]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(grams))))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(_signed(names)), pa.array(parts, pa.int32()), lists], ["node", "class", "part", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(names)), pa.array(parts, pa.int32()), lists], ["class", "part", "grams"])
         give_back()
 
-    found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(run, "node long, class long, part int, grams array<long>")
-    # A repeated row or two texts of one id and class give equal rows: the first is taken.
-    return found.join(wanted, ["node", "class"]).groupBy("class", "part").agg(F.first("fan").alias("fan"), F.first("grams").alias("grams"))
+    asked_of = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", bit("doc_id").alias("bit"))
+    return asked_of.mapInArrow(run, "class long, part int, grams array<long>")
+
 
+def partial_overlaps(pairs: DataFrame, fragments: DataFrame, fans: DataFrame) -> DataFrame:
+    """class, class2, part, o: for each pair (class, class2, fan, fan2) the n-grams that both have in each fragment they share.
 
-def partial_overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """class, class2, part, o: for each pair (class, class2, fan, fan2) the n-grams that both have in each fragment they share."""
+    fans: class, fan of those classes whose fragments go to more than one salt.
+    """
     salted = lambda other, fan: F.pmod(F.xxhash64(other), F.col(fan))
-    rows = fragments.select("class", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)).alias("salt"), "grams")
+    last = F.coalesce("fan", F.lit(1).cast("long")) - 1
+    rows = fragments.join(fans, "class", "left").select("class", "part", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("salt"), "grams")
     asked = pairs.select("class", "class2", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), salted("class2", "fan").alias("salt"), salted("class", "fan2").alias("salt2"))
     one = asked.join(rows, ["class", "part", "salt"])
     other = rows.select(F.col("class").alias("class2"), "part", F.col("salt").alias("salt2"), F.col("grams").alias("grams2"))
@@ -304,12 +306,12 @@ def _near(num: int, den: int, a: str = "", b: str = "2"):
 
 
 def _possible(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """class, class2 of those pairs whose fine fragments' sizes allow a link."""
+    """Those of the pairs (class, class2 and other columns) whose fine fragments' sizes allow a link."""
     one = known.select("class", F.col("n").alias("n1"), F.col("sizes").alias("sizes1"))
     two = known.select(F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("sizes").alias("sizes2"))
-    most = F.aggregate(F.zip_with("sizes1", "sizes2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    most = F.aggregate(F.zip_with("sizes1", "sizes2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x.cast("int"))
     enough = most * (den + num) >= (F.col("n1") + F.col("n2")) * num
-    return pairs.join(one, "class").join(two, "class2").where(F.coalesce(enough, F.lit(True))).select("class", "class2")
+    return pairs.join(one, "class").join(two, "class2").where(F.coalesce(enough, F.lit(True))).select(*pairs.columns)
 
 
 def pivots_of(met: DataFrame) -> DataFrame:
@@ -319,15 +321,15 @@ def pivots_of(met: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (class, class2) that link, as a, b. known: class, node, n, sizes."""
-    pairs = written(_possible(pairs, known, num, den))
+    """Those of the pairs (class, class2) that link, as a, b. known: class, node, n."""
     ends = pairs.select("class").unionAll(pairs.select(F.col("class2").alias("class"))).groupBy("class").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("fan"))
     wanted = written(known.select("class", "node", "n").join(ends, "class"))
-    fragments = written(fragments_of(docs, wanted.select("class", "node", "fan"), n))
+    fragments = written(fragments_of(docs, wanted.select("class", "node"), n))
     left = wanted.select("class", F.col("n").alias("n1"), "fan")
     right = wanted.select(F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("fan").alias("fan2"))
     sized = written(pairs.join(left, "class").join(right, "class2"))
-    overlap = partial_overlaps(sized, fragments).groupBy("class", "class2").agg(F.sum("o").alias("o"))
+    parts = partial_overlaps(sized, fragments, written(wanted.where("fan > 1").select("class", "fan"))).groupBy("class", "class2", "part").agg(F.max("o").alias("o"))
+    overlap = parts.groupBy("class", "class2").agg(F.sum("o").alias("o"))
     met = sized.join(overlap, ["class", "class2"])
     return met.where(F.col("o") * den >= (F.col("n1") + F.col("n2") - F.col("o")) * num).select(F.col("class").alias("a"), F.col("class2").alias("b"))
 
@@ -356,7 +358,8 @@ def linked_texts(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100,
     stars = met.join(written(pivots_of(met)), "sig").select(F.explode("pivots").alias("class2"), "class").where("class <> class2")
     stars = stars.select(F.least("class", "class2").alias("class"), F.greatest("class", "class2").alias("class2")).distinct()
     second = known.select(F.col("class").alias("class2"), F.col("n").alias("n2"), *[F.col(m).alias(f"{m}2") for m in marks])
-    stars = written(stars.join(known.drop("sizes"), "class").join(second, "class2").where(_near(num, den)).select("class", "class2", _differ().alias("differ")))
+    stars = written(stars.join(known.drop("node", "sizes"), "class").join(second, "class2").where(_near(num, den)).select("class", "class2", _differ().alias("differ")))
+    stars = written(_possible(stars, known, num, den))
     release(spark)
 
     # First each class with its nearest pivot only, then those star pairs that still lie in two components.
@@ -381,7 +384,7 @@ def linked_texts(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100,
     open_ = written(members.join(known.drop("node", "sizes"), "class"))
     other = open_.select("sig", *[F.col(c).alias(f"{c}2") for c in open_.columns if c != "sig"])
     rest = open_.join(other, "sig").where((F.col("class") < F.col("class2")) & (F.col("component") != F.col("component2")) & _near(num, den))
-    rest = written(rest.select("class", "class2").distinct())
+    rest = written(_possible(written(rest.select("class", "class2").distinct()), known, num, den))
     more = written(verified(rest, base, known, n, num, den))
     release(spark)
     final = components(links.unionByName(more)) if more.limit(1).count() else found

@@ -110,9 +110,10 @@ def test_partial_overlaps_sum_to_the_whole(spark):
     sets = {r.doc_id: j.ngram_sets([r.text], 1)[0] for r in docs.collect()}
     name = {i: int(np.uint64(j.class_of(s)).astype(np.int64)) for i, s in sets.items()}
     fan = 2
-    wanted = spark.createDataFrame([(c, i, fan) for i, c in name.items()], "class long, node long, fan long")
+    wanted = spark.createDataFrame([(c, i) for i, c in name.items()], "class long, node long")
+    fans = spark.createDataFrame([(c, fan) for c in name.values()], "class long, fan long")
     pairs = spark.createDataFrame([(name[a], name[b], fan, fan) for a, b in combinations(sets, 2)], "class long, class2 long, fan long, fan2 long")
-    met = j.partial_overlaps(pairs, j.fragments_of(docs, wanted, 1)).collect()
+    met = j.partial_overlaps(pairs, j.fragments_of(docs, wanted, 1), fans).collect()
     for a, b in combinations(sets, 2):
         own = [r for r in met if (r["class"], r.class2) == (name[a], name[b])]
         both = np.intersect1d(sets[a], sets[b])
