@@ -32,6 +32,17 @@ def test_defined_cases(spark):
     assert c.format_conversations(empty).count() == 0
 
 
+def test_long_conversations(spark):
+    """20,000 turns; one block of many merged turns too."""
+    rows = [(1, t, ["user", "assistant"][t % 2], NASTY[t % len(NASTY)] + f" é{t}") for t in range(20_000)]
+    rows += [(2, t, "assistant", f"same \U0001f600 {t}") for t in range(20_000)]
+    got = read(spark, rows)
+    for conv in (1, 2):
+        own = [(r, x) for j, _, r, x in rows if j == conv]
+        assert [tuple(t) for t in got[conv].turns] == own
+        assert got[conv].loss == "".join(x for r, x in own if r == "assistant")
+
+
 def test_query(spark, sf):
     out = {r.conv_id: r for r in c.op6_chat_format(spark, sf).collect()}
     assert out[-7].n_turns == 2 and out[-7].loss_chars == len(NASTY[0])
