@@ -7,7 +7,7 @@ it. A document's score is a logistic function of what its matched clauses add up
 
 Insult terms are words and word beginnings whose labelled documents are toxic far more often than others, with their log odds as weights; the
 logistic weights are fitted with them. The fit reads about `sample` labelled documents (chosen by
-a hash of their id) outside the held-out quarter, whole texts; a score reads nothing but the text.
+a hash of their id, at most `most_chars` long; this bounds the fit only) outside the held-out quarter; a score reads nothing but the text, and all of it.
 
 Scoring is one pass without a shuffle: an Aho-Corasick automaton finds terms in the whole text, and the grammar runs on their
 clauses. The model is a few hundred terms, whatever the corpus.
@@ -19,6 +19,7 @@ maximum; columns other than those named are not read.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import defaultdict
@@ -128,14 +129,15 @@ class Model:
         if not text:
             return out
         low = text.lower()
+        hits_at = [end - n + 1 for end, n in self.finder.iter(low)]
+        hits_at = sorted({s for s in hits_at if not (s and low[s - 1].isalpha())})
         spans: list[tuple[int, int]] = []
-        for end, n in self.finder.iter(low):
-            start = end - n + 1
-            if (spans and start < spans[-1][1]) or (start and (low[start - 1].isalpha())):
-                continue
-            lo = max((low.rfind(c, max(0, start - 300), start) for c in ".!?;:,|\n"), default=-1) + 1
-            hi = CLAUSE.search(low, end)
-            spans.append((max(lo, start - 300), min(hi.start() if hi else len(low), end + 300)))
+        if hits_at:  # whole clauses, each once however many hits it holds
+            marks = [m.span() for m in CLAUSE.finditer(low)]
+            starts = [0, *(e for _, e in marks)]
+            ends = [*(s for s, _ in marks), len(low)]
+            held = sorted({bisect.bisect_right(starts, s) - 1 for s in hits_at})
+            spans = [(starts[i], ends[i]) for i in held]
         counts = np.zeros(len(FEATURES))
         total = best = hits = 0.0
         for lo, hi in spans:
@@ -223,12 +225,12 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000) -> Model:
-    """Fits on about `sample` labelled documents outside the held-out quarter."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, most_chars: int = 20_000) -> Model:
+    """Fits on about `sample` labelled documents outside the held-out quarter; of them those of at most `most_chars` characters."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where("_y is not null and _id is not null").where(~held_out("_id"))
     chosen = bounded_sample(known.groupBy("_id").agg(F.max("_y").alias("_y")), sample, id_col="_id")
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).collect()  # the sample's size is bounded
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.length("_text") <= most_chars)
+    rows = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).collect()  # both the sample's rows and their lengths are bounded
     rows.sort(key=lambda r: r._id)
     return fit([r._text for r in rows], [int(r._y > 0) for r in rows])
 

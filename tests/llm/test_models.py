@@ -147,3 +147,36 @@ def test_grammar_counts_clauses():
     assert f("he is not idiot")["negated"] == 1 and f("she said idiot")["reported"] == 1
     assert f("not here. idiot")["negated"] == 0
     assert f("we will kill you")["threat"] == 1 and f("we will kill you")["aimed"] == 1
+
+
+def test_composed_machine_equals_separate_ones():
+    t = toxicity_wfst
+    alone = [t.counter(t.INSULT, "insult"), t.counter(t.THREAT, "threat"), t.window(t.TARGET, "aimed", 4), t.window(t.TARGET, "aimed", 3, backwards=True), t.window(t.NEGATION, "negated", 2), t.window(t.REPORT, "reported", 6)]
+    whole = t.grammar()
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        classes = rng.integers(0, 6, rng.integers(1, 40)).tolist()
+        state, total = 0, np.zeros(len(t.FEATURES))
+        for c in classes:
+            state, x = whole[state, c]
+            total += x
+        want = np.zeros(len(t.FEATURES))
+        for machine in alone:
+            state = 0
+            for c in classes:
+                state, x = machine[state, c]
+                want += x
+        assert np.array_equal(total, want)
+
+
+def test_long_clause_is_counted_once():
+    m = toxicity_wfst.Model({"idiot": 4.0}, np.zeros(9))
+    words = ["word"] * 1000
+    for i in (100, 500, 900):
+        words[i] = "idiot"
+    clause = " ".join(words)
+    assert len(clause) > 5000
+    got = m.features(f"Before. {clause}, and after it an idiot.")
+    assert round(np.expm1(got[1])) == 4 and round(np.expm1(got[-1])) == 4
+    assert round(np.expm1(m.features(clause)[1])) == 3
+    assert round(np.expm1(m.features("you " + "x " * 2 + "idiot " * 3)[3])) == 2
