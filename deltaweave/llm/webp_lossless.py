@@ -2,11 +2,15 @@
 
 `decode` reads any VP8L stream: prefix codes (simple and normal, several groups through an entropy image),
 back-references, colour cache, and the predictor, cross-colour, subtract-green and palette
-transforms. `encode` writes streams; by default every sample is a literal under an 8-bit prefix code, which can be
-written and read for a whole image at once, and on request it uses each of the other features.
+transforms. `encode` writes streams with each of these features.
 
-Bytes are stored as pixels (red, green, blue, alpha) of images 16 wide and at most `MAX_SIDE` high; a longer payload is a
-run of complete files, one after the other. Rows are independent; a worker holds one document at a time.
+Bytes are stored as samples of the green channel of images `WIDE` wide and at most `MAX_SIDE` high; a longer payload is a run of
+complete files, one after the other. For each image the writer compares the measured cost of literals under a prefix code of
+their own counts with that of literals and back-references to the last place of the same four bytes, and takes the cheaper;
+samples of at most 16 values are packed through a palette. Predictor, cross-colour and cache aren't tried for texts: neighbouring
+bytes of a text don't predict each other by value, and a cache of one-channel pixels repeats what the prefix code does. Equal
+texts have equal files. Streams whose pixels lie in the green channel alone are read through a table of all bit
+places, a chunk at a time; others element by element. Rows are independent; a worker holds one document at a time.
 
 Defined cases: null and empty texts are one block of 64 zero bytes with n_bytes 0; repeated rows give equal
 values; an empty table gives no rows; columns other than the two named ones are not read.
@@ -25,6 +29,12 @@ from pyspark.sql import functions as F
 from deltaweave.llm.common import table
 
 MAX_SIDE = 16384
+WIDE = 64
+#: Bytes of a stream whose bit places are looked up at once, tokens skipped by one step of a walk (as a power of two), and longest
+#: codes of the writer for texts.
+CHUNK, STEP_BITS, MOST_BITS = 1 << 14, 4, 12
+U64 = np.uint64
+_EIGHT = np.arange(8, dtype=np.uint64)
 #: Fixed values of the format.
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 DISTANCE_MAP = [
@@ -74,43 +84,49 @@ class Bits:
 
 
 class Prefix:
-    """A canonical prefix code as a lookup by the next `most` bits."""
+    """A canonical prefix code as a lookup by the next `most` bits: symbol << 4 | length."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         self.flat = len(used) == 256 and bool((lengths[:256] == 8).all())
-        self.single = int(used[0]) if len(used) == 1 else None
-        if self.single is not None or self.flat:
-            if self.flat:
-                self.most, self.table = 8, [(8, int(_REVERSED[i])) for i in range(256)]
-            return
-        if not len(used):
-            self.single = 0
+        self.single = int(used[0]) if len(used) == 1 else None if len(used) else 0
+        self.most, self._list = 0, None
+        if self.single is not None:
+            self.table = np.array([self.single << 4], np.int32)
             return
         self.most = int(lengths.max())
-        self.table = [None] * (1 << self.most)
-        for symbol, (length, code) in codes_of(lengths).items():
-            for high in range(1 << (self.most - length)):
-                self.table[code | high << length] = (length, symbol)
+        self.table = np.zeros(1 << self.most, np.int32)
+        used, codes = codes_of(lengths)
+        for symbol, length, code in zip(used.tolist(), lengths[used].tolist(), codes[used].tolist()):
+            self.table[code :: 1 << length] = symbol << 4 | length
+
+    @property
+    def list(self) -> list[int]:
+        if self._list is None:
+            self._list = self.table.tolist()
+        return self._list
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
         bits.fill(self.most)
-        length, symbol = self.table[bits.held & ((1 << self.most) - 1)]
-        bits.held >>= length
-        bits.n -= length
-        return symbol
-
-
-def codes_of(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
-    """symbol: (length, code with its bits in stream order)."""
-    out, code, before = {}, 0, 0
-    for length, symbol in sorted((int(n), s) for s, n in enumerate(lengths) if n):
-        code <<= length - before
-        out[symbol] = (length, int(f"{code:0{length}b}"[::-1], 2))
-        code, before = code + 1, length
-    return out
+        e = self.list[bits.held & ((1 << self.most) - 1)]
+        bits.held >>= e & 15
+        bits.n -= e & 15
+        return e >> 4
+
+
+def codes_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Used symbols, and by symbol the code with its bits in stream order."""
+    sizes = lengths.astype(np.int64)
+    used = np.flatnonzero(sizes)
+    order = used[np.argsort(sizes[used], kind="stable")]
+    own = sizes[order]
+    # A code is the sum of the shares of those before it, in units of its own length.
+    before = np.cumsum(np.append(0, 1 << (15 - own)))[:-1] >> (15 - own)
+    codes = np.zeros(len(sizes), np.int64)
+    codes[order] = (_REVERSED[before & 255].astype(np.int64) << 8 | _REVERSED[before >> 8]) >> (16 - own)
+    return used, codes
 
 
 def read_code(bits: Bits, size: int) -> Prefix:
@@ -164,6 +180,11 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     n = width * height
     if n_groups == 1 and not cache_bits and all(c.flat for c in groups[0][:4]):
         return _literals(bits, n).reshape(height, width, 4)
+    if n_groups == 1 and not cache_bits and all(c.single is not None for c in groups[0][1:4]):
+        out = np.empty((n, 4), np.uint8)
+        out[:] = [groups[0][1].single, 0, groups[0][2].single, groups[0][3].single]
+        out[:, G] = _green(bits, n, width, groups[0][0], groups[0][4])
+        return out.reshape(height, width, 4)
     out = np.zeros(n, np.uint32)  # argb
     cache = [0] * (1 << cache_bits) if cache_bits else None
     at, seen = 0, 0
@@ -197,6 +218,85 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.stack([(out >> k & 255).astype(np.uint8) for k in (16, 8, 0, 24)], -1).reshape(height, width, 4)
 
 
+def _green(bits: Bits, n: int, width: int, code: Prefix, distances: Prefix) -> np.ndarray:
+    """n samples of a stream with one coded channel.
+
+    For a chunk of the stream each bit place gets the token that would begin there and so the place of the next one; steps of
+    `STEP` tokens are composed, followed, and filled in again. Literals and copies of the places met are then laid out at once, and copies
+    made in their order.
+    """
+    data = bits.data + bytes(16)
+    out = np.zeros(n, np.uint8)
+    p, made = bits.place(), 0
+    while made < n:
+        first = p >> 3
+        raw = np.frombuffer(data, np.uint8, min(CHUNK, len(data) - 16 - first) + 15, first).astype(np.uint64)
+        w = raw[:-7].copy()
+        for k in range(1, 8):
+            w |= raw[k : len(raw) - 7 + k] << U64(8 * k)  # 64 bits from each byte on
+        at_bit = lambda places: w[places >> 3] >> (places & 7).astype(U64)
+        rows = len(w) - 8  # tokens that begin there lie in the windows whole
+        entry = code.table[((w[:rows, None] >> _EIGHT) & U64((1 << code.most) - 1)).ravel()]
+        follow = np.arange(8 * rows, dtype=np.int64) + (entry & 15)
+        copies = np.flatnonzero(entry >= 4096)
+        length, far, ends = _copy_tokens(at_bit, copies + (entry[copies] & 15), (entry[copies] >> 4) - 256, distances)
+        follow[copies] = ends
+        limit = 8 * rows
+        steps = [np.append(np.minimum(follow, limit), limit)]
+        while len(steps) < STEP_BITS + 1:
+            steps.append(steps[-1][steps[-1]])
+        # At most as many tokens as samples are missing; each step of the walk skips 2 ** STEP_BITS of them.
+        start, met, jump = p - 8 * first, [], steps[-1].item
+        while start < limit and (len(met) << STEP_BITS) < n - made:
+            met.append(start)
+            start = jump(start)
+        places = np.array(met, np.int64)[:, None]
+        for step in steps[-2::-1]:
+            places = np.stack([places, step[places]], -1).reshape(len(met), -1)
+        places = places.ravel()
+        places = places[places < limit]
+        symbol = entry[places] >> 4
+        is_copy = symbol >= 256
+        size = np.ones(len(places), np.int64)
+        which = np.searchsorted(copies, places[is_copy])
+        size[is_copy] = length[which]
+        ends = made + np.cumsum(size)
+        keep = int(np.searchsorted(ends, n)) + 1  # tokens up to the last sample
+        places, symbol, is_copy, ends, size = places[:keep], symbol[:keep], is_copy[:keep], ends[:keep], size[:keep]
+        out[ends[~is_copy] - 1] = symbol[~is_copy]
+        for end, m, back in zip(ends[is_copy].tolist(), size[is_copy].tolist(), far[which].tolist()):
+            if back > 120:
+                back -= 120
+            else:
+                dx, dy = DISTANCE_MAP[back - 1]
+                back = max(1, dx + dy * width)
+            lo, end = end - m, min(end, n)
+            if back >= m:
+                out[lo:end] = out[lo - back : end - back]
+            else:
+                out[lo:end] = np.resize(out[lo - back : lo], end - lo)
+        made = min(int(ends[-1]), n)
+        p = 8 * first + int(follow[places[-1]])
+    bits.seek(p)
+    return out
+
+
+def _copy_tokens(at_bit, places: np.ndarray, symbols: np.ndarray, distances: Prefix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, distance values and end places of copies whose length symbols end at the places."""
+    length, places = _values(symbols, places, at_bit)
+    entry = distances.table[at_bit(places) & U64((1 << distances.most) - 1)]
+    far, places = _values(entry >> 4, places + (entry & 15), at_bit)
+    return length, far, places
+
+
+def _values(symbols: np.ndarray, places: np.ndarray, at_bit) -> tuple[np.ndarray, np.ndarray]:
+    """Values of prefix symbols whose extra bits begin at the places, and where those end."""
+    symbols = symbols.astype(np.int64)
+    extra = np.where(symbols < 4, 0, (symbols - 2) >> 1)
+    value = ((2 + (symbols & 1)) << extra) + (at_bit(places) & ((U64(1) << extra.astype(U64)) - U64(1))).astype(np.int64) + 1
+    return np.where(symbols < 4, symbols + 1, value), places + extra
+
+
 def _literals(bits: Bits, n: int) -> np.ndarray:
     """n pixels whose samples are 8-bit codes in the order green, red, blue, alpha."""
     place = bits.place()
@@ -307,48 +407,77 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class Writer:
+    """Bits, lowest first; whole bytes leave as they fill."""
+
     def __init__(self):
-        self.held, self.n = 0, 0
+        self.out, self.held, self.n = bytearray(), 0, 0
 
     def put(self, value: int, n: int) -> None:
         self.held |= value << self.n
         self.n += n
+        if self.n >= 512:
+            self.out += (self.held & ((1 << 512) - 1)).to_bytes(64, "little")
+            self.held >>= 512
+            self.n -= 512
+
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Many values of at most 32 bits each."""
+        part = 1 << 16
+        for lo in range(0, len(values), part):
+            size = sizes[lo : lo + part].astype(np.int64)
+            ends = np.cumsum(size)
+            total = int(ends[-1])
+            each = np.arange(total) - np.repeat(ends - size, size)
+            ones = np.repeat(values[lo : lo + part].astype(np.int64), size) >> each & 1
+            lead = np.unpackbits(np.frombuffer(self.held.to_bytes(64, "little"), np.uint8), bitorder="little")[: self.n]
+            whole = np.packbits(np.concatenate([lead, ones.astype(np.uint8)]), bitorder="little").tobytes()
+            total += self.n
+            self.out += whole[: total // 8]
+            self.n = total % 8
+            self.held = whole[-1] if self.n else 0
+
+    def data(self) -> bytes:
+        return bytes(self.out) + self.held.to_bytes(-(-self.n // 8), "little")
 
 
 def lengths_of(counts: np.ndarray, most: int) -> np.ndarray:
     """Code lengths of a prefix code for these counts, none over `most`."""
     out = np.zeros(len(counts), np.uint8)
-    used = np.flatnonzero(counts)
+    used = np.flatnonzero(counts).tolist()
     if len(used) <= 1:
         out[used] = 1
         return out
-    floor = 1
+    own, floor = counts[used].tolist(), 1
     while True:
-        heap = [(max(int(counts[s]), floor), i, [int(s)]) for i, s in enumerate(used)]
+        heap = [(max(c, floor), i) for i, c in enumerate(own)]
         heapq.heapify(heap)
-        out[:] = 0
-        i = len(used)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            out[a[2] + b[2]] += 1
-            heapq.heappush(heap, (a[0] + b[0], i, a[2] + b[2]))
-            i += 1
-        if out.max() <= most:
+        parent = [0] * (2 * len(used) - 1)
+        for i in range(len(used), len(parent)):
+            a, x = heapq.heappop(heap)
+            b, y = heap[0]
+            parent[x] = parent[y] = i
+            heapq.heapreplace(heap, (a + b, i))
+        depth = [0] * len(parent)
+        for i in range(len(parent) - 2, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth) <= most:
+            out[used] = depth[: len(used)]
             return out
         floor *= 2
 
 
-def put_code(to: Writer, lengths: np.ndarray) -> dict[int, tuple[int, int]]:
-    used = np.flatnonzero(lengths)
+def put_code(to: Writer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a code; gives each symbol's number of bits and bits."""
+    used, values = codes_of(lengths)
+    bits = lengths.astype(np.int64)
+    if len(used) == 1:
+        bits = np.zeros_like(bits)  # a code of one symbol takes no bits
     if len(used) <= 2 and (not len(used) or used.max() < 256):
         symbols = used.tolist() or [0]
-        to.put(1, 1)
-        to.put(len(symbols) - 1, 1)
-        to.put(1, 1)
+        to.put(1 | len(symbols) - 1 << 1 | 1 << 2, 3)
         for s in symbols:
             to.put(s, 8)
-        codes = codes_of(lengths)
-        return {s: (0, 0) for s in symbols} if len(symbols) == 1 else codes
+        return bits, values
     to.put(0, 1)
     if len(used) == 256 and (lengths[:256] == 8).all():  # one length for all: its own code takes no bits
         to.put(8, 4)
@@ -360,19 +489,31 @@ def put_code(to: Writer, lengths: np.ndarray) -> dict[int, tuple[int, int]]:
             to.put(254, 8)
         else:
             to.put(0, 1)
-        return codes_of(lengths)
-    own = lengths_of(np.bincount(lengths, minlength=19), 7)
+        return bits, values
+    # Lengths of used symbols as they are, runs of unused ones as one symbol each.
+    items: list[tuple[int, int, int]] = []
+    at = 0
+    for symbol in [*used.tolist(), len(lengths)]:
+        gap = symbol - at
+        while gap >= 3:
+            n = min(gap, 138)
+            items.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
+            gap -= n
+        items += [(0, 0, 0)] * gap
+        if symbol < len(lengths):
+            items.append((int(lengths[symbol]), 0, 0))
+        at = symbol + 1
+    own = lengths_of(np.bincount([i[0] for i in items], minlength=19), 7)
     if np.count_nonzero(own) == 1:
         own[0 if own[0] == 0 else 1] = 1
     to.put(15, 4)
     for s in CODE_LENGTH_ORDER:
         to.put(int(own[s]), 3)
     to.put(0, 1)
-    codes = codes_of(own)
-    for n in lengths:
-        length, code = codes[int(n)]
-        to.put(code, length)
-    return codes_of(lengths) if len(used) > 1 else {int(used[0]): (0, 0)}
+    codes, sizes = codes_of(own)[1].tolist(), own.tolist()
+    for n, extra, size in items:
+        to.put(codes[n] | extra << sizes[n], sizes[n] + size)
+    return bits, values
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -426,7 +567,7 @@ def put_pixels(to: Writer, img: np.ndarray, main: bool, cache_bits: int = 0, ref
         else:
             counts[0][256 + _prefix_of(x[0])[0]] += 1
             counts[4][_prefix_of(x[1])[0]] += 1
-    codes = [put_code(to, lengths_of(c, 15)) for c in counts]
+    codes = [list(zip(*(x.tolist() for x in put_code(to, lengths_of(c, 15))))) for c in counts]
     for kind, *x in items:
         if kind == "literal":
             for c, v in zip((0, 1, 2, 3), (x[G], x[R], x[B], x[A])):
@@ -464,7 +605,7 @@ def _file(stream: bytes) -> bytes:
     return b"RIFF" + len(body).to_bytes(4, "little") + body
 
 
-_FLAT: dict[tuple[int, int], tuple[int, int]] = {}
+_FLAT: dict[tuple[int, int], tuple[bytes, int]] = {}
 
 
 def encode(img: np.ndarray, *, transforms: tuple = (), cache_bits: int = 0, references: bool = False, flat: bool = True) -> bytes:
@@ -475,7 +616,7 @@ def encode(img: np.ndarray, *, transforms: tuple = (), cache_bits: int = 0, refe
             if len(_FLAT) > 20_000:
                 _FLAT.clear()
             to = _flat_codes(_header(w, h))
-            _FLAT[w, h] = to.held, to.n
+            _FLAT[w, h] = to.data(), len(to.out) * 8 + to.n
         held, n = _FLAT[w, h]
         k = n % 8
         data = _REVERSED[img.reshape(-1, 4)[:, [1, 0, 2, 3]].ravel()]
@@ -485,7 +626,7 @@ def encode(img: np.ndarray, *, transforms: tuple = (), cache_bits: int = 0, refe
             out[1:] |= data >> (8 - k)
         else:
             out = data
-        head = bytearray(held.to_bytes(-(-n // 8), "little"))
+        head = bytearray(held)
         if k:
             out[0] |= head.pop()
         return _file(bytes(head) + out.tobytes())
@@ -521,7 +662,7 @@ def encode(img: np.ndarray, *, transforms: tuple = (), cache_bits: int = 0, refe
             src = np.stack([np.zeros_like(packed), packed, np.zeros_like(packed), np.full_like(packed, 255)], -1).astype(np.uint8)
     to.put(0, 1)
     put_pixels(to, src, True, cache_bits, references)
-    return _file(to.held.to_bytes(-(-to.n // 8), "little"))
+    return _file(to.data())
 
 
 def _residuals(img: np.ndarray, modes: np.ndarray, side: int) -> np.ndarray:
@@ -539,10 +680,112 @@ def _residuals(img: np.ndarray, modes: np.ndarray, side: int) -> np.ndarray:
     return out.astype(np.uint8)
 
 
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, numbers of extra bits and extra bits of many lengths or distances."""
+    v = values - 1
+    high = np.maximum(np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1, 0)
+    small = v < 4
+    size = np.where(small, 0, np.maximum(high - 1, 0))
+    symbol = np.where(small, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1))
+    return symbol, size, v & ((1 << size) - 1)
+
+
+def _copies(b: np.ndarray, least: int = 7, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of back-references, taken greedily from the left.
+
+    Each place looks at the last one with the same four bytes; as long as that distance stays the same, the match goes on.
+    """
+    n = len(b)
+    if n < 8:
+        return (np.empty(0, np.int64),) * 3
+    x = b.astype(np.uint32)
+    key = x[:-3] | x[1:-2] << 8 | x[2:-1] << 16 | x[3:] << 24
+    # By a 16-bit hash of the key, which numpy sorts by radix; only equal keys count.
+    order = np.argsort((key * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16), kind="stable")
+    ranked = key[order]
+    far = np.zeros(n - 3, np.int64)
+    again = np.flatnonzero(ranked[1:] == ranked[:-1]) + 1
+    far[order[again]] = order[again] - order[again - 1]
+    ends = np.flatnonzero(np.append(far[1:] != far[:-1], True))
+    last = ends[np.searchsorted(ends, np.arange(n - 3))]
+    length = last - np.arange(n - 3) + 4
+    begin = np.flatnonzero((far > 0) & (length >= least))
+    starts, at = [], 0
+    picked = []
+    for i, (p, m) in enumerate(zip(begin.tolist(), length[begin].tolist())):
+        if p >= at:
+            starts.append(i)
+            picked.append(min(m, most))
+            at = p + picked[-1]
+    begin = begin[starts]
+    return begin, np.array(picked, np.int64), far[begin]
+
+
+def _bits(counts: np.ndarray) -> float:
+    """Bits that the counts' own code needs at least."""
+    c = counts[counts > 0].astype(np.float64)
+    return float((c * np.log2(c.sum() / c)).sum())
+
+
+def encode_samples(samples: np.ndarray, width: int = WIDE) -> bytes:
+    """A file whose green channel holds the samples, by the cheapest of the writer's ways."""
+    n = len(samples)
+    counts = np.bincount(samples, minlength=280)
+    if np.count_nonzero(counts) <= 16:
+        img = np.zeros((n // width, width, 4), np.uint8)
+        img[..., G], img[..., A] = samples.reshape(-1, width), 255
+        return encode(img, transforms=((PALETTE,),), references=True)
+    symbols, values, sizes = samples.astype(np.int64), None, None
+    starts, lengths, fars = _copies(samples)
+    fars_counts = np.zeros(40, np.int64)
+    if len(starts):
+        edge = np.zeros(n + 1, np.int64)
+        edge[starts] += 1
+        np.add.at(edge, starts + lengths, -1)
+        token = np.cumsum(edge[:-1]) == 0
+        token[starts] = True
+        own, own_size, own_extra = _prefixes(lengths)
+        to, to_size, to_extra = _prefixes(fars + 120)
+        all_symbols = symbols.copy()
+        all_symbols[starts] = 256 + own
+        counts2, fars2 = np.bincount(all_symbols[token], minlength=280), np.bincount(to, minlength=40)
+        if _bits(counts2) + _bits(fars2) + float(own_size.sum() + to_size.sum()) + 120 < _bits(counts):
+            counts, fars_counts = counts2, fars2
+            symbols = all_symbols[token]
+            at = np.flatnonzero(symbols >= 256)
+            values, sizes = (own_extra, to, to_extra), (own_size, to_size)
+    to_ = _header(width, n // width)
+    to_.put(0, 3)  # no transform, no cache, one group
+    green, far_code = lengths_of(counts, MOST_BITS), lengths_of(fars_counts, MOST_BITS)
+    codes = put_code(to_, green)
+    for single in (0, 0, 255):  # red, blue and alpha: a code of one symbol
+        to_.put(0b101 | single << 3, 11)
+    far_bits, far_values = put_code(to_, far_code)
+    bits, value = codes[0][symbols], codes[1][symbols]
+    if values is not None:  # a copy's extra bits, distance code and its extra bits follow its symbol
+        first = np.zeros((len(symbols), 3), np.int64)
+        length = np.zeros((len(symbols), 3), np.int64)
+        first[:, 0], length[:, 0] = value, bits
+        first[at, 0] |= values[0] << bits[at]
+        length[at, 0] += sizes[0]
+        first[at, 1], length[at, 1] = far_values[values[1]], far_bits[values[1]]
+        first[at, 2], length[at, 2] = values[2], sizes[1]
+        value, bits = first.ravel(), length.ravel()
+        some = bits > 0
+        value, bits = value[some], bits[some]
+    to_.put_all(value, bits)
+    return _file(to_.data())
+
+
 def store_bytes(payload: bytes) -> bytes:
     """Files, one after the other, that hold a payload of whole 64-byte blocks."""
-    px = np.frombuffer(payload, np.uint8).reshape(-1, 16, 4)
-    return b"".join(encode(px[i : i + MAX_SIDE]) for i in range(0, len(px), MAX_SIDE))
+    samples, most = np.frombuffer(payload, np.uint8), WIDE * MAX_SIDE
+    return b"".join(encode_samples(samples[i : i + most]) for i in range(0, len(samples), most))
+
+
+def samples_of(images: list[np.ndarray]) -> bytes:
+    """The payload that the images hold."""
+    return b"".join(i[..., G].tobytes() for i in images)
 
 
 def load_images(media: bytes) -> list[np.ndarray]:
@@ -585,11 +828,11 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def load_media(stored: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media, samples (the pixel arrays' bytes), feature: read back from the stored files."""
+    """doc_id, n_bytes, media, samples (the green channel of the pixel arrays), feature: read back from the stored files."""
 
     def one(doc, n, media):
         images = load_images(media)
-        return doc, n, media, b"".join(i.tobytes() for i in images), features(images)
+        return doc, n, media, samples_of(images), features(images)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("samples", pa.binary()), ("feature", pa.string())])
     return _mapped(stored.select("doc_id", "n_bytes", "media"), one, schema, "doc_id long, n_bytes long, media binary, samples binary, feature string")

@@ -58,7 +58,43 @@ def test_palette(colours):
 def test_long_payload_is_several_files():
     payload = np.random.default_rng(0).integers(0, 256, 64 * (w.MAX_SIDE + 3), np.uint8).tobytes()
     images = w.load_images(w.store_bytes(payload))
-    assert len(images) == 2 and b"".join(i.tobytes() for i in images) == payload
+    assert len(images) == 2 and w.samples_of(images) == payload
+
+
+def test_texts_round_trip_and_shrink():
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    texts = [t.encode() for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    odd = [b"", b"ab" * 5000, bytes(range(256)) * 40, rng.integers(0, 256, 5000, np.uint8).tobytes(), rng.integers(0, 17, 70_000, np.uint8).tobytes(), b"0123456789" * 700, b"x" * 100_000, "é漢\U0001f600".encode() * 9000]
+    odd.append(b"".join(bytes([i % 251]) * (i % 700) for i in range(1200)))  # copies of all lengths
+    total = stored = 0
+    for raw in texts + odd:
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        media = w.store_bytes(payload)
+        assert w.samples_of(w.load_images(media)) == payload and media == w.store_bytes(payload)
+        if raw in texts:
+            total, stored = total + len(payload), stored + len(media)
+    assert stored < 0.55 * total
+
+
+def test_the_fast_reader_equals_the_general_one(monkeypatch):
+    """The same files, read element by element."""
+    texts = [b"the quick brown fox jumps over the lazy dog; " * 40 + bytes(range(200)), b"a b c d e f g h i j k l m n o p q r s t u v w x y z " * 9]
+    media = [w.store_bytes(t + b"\0" * (-len(t) % 64)) for t in texts]
+    fast = [w.decode(m) for m in media]
+    monkeypatch.setattr(w, "_green", None)
+    read = w.Prefix.__init__
+
+    def never_single(self, lengths):
+        read(self, lengths)
+        if self.single is not None:
+            self.one, self.single = self.single, None
+            self.read = lambda bits: self.one
+
+    monkeypatch.setattr(w.Prefix, "__init__", never_single)
+    for m, f in zip(media, fast):
+        assert (w.decode(m) == f).all()
 
 
 def test_op8_equals_plain_bytes(spark):
