@@ -25,27 +25,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is empty (a single machine, as in tests) a temporary folder is set
-    and used.
+    Only where that setting is empty on a single machine, as in tests, a temporary folder is set and used; on a
+    cluster its absence is an error, since executors don't share local folders.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
         return sc.getCheckpointDir()
     return root
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read again; its lineage ends there."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: columnar, compressed, read with pruning."""
     spark = df.sparkSession
@@ -54,6 +47,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Python workers get fewer rows at a time, unless the session has its own number: whole texts make large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of frames that are no longer held: it acts when the driver's
     garbage is collected, which a long job with a small driver may otherwise not do for hours."""

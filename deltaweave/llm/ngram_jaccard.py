@@ -44,6 +44,8 @@ FINE = 256
 PARTS = 8
 PIVOTS = 4
 FAN = 64
+#: Rows of two longs, some 40 MB as a hash table.
+MOST_BROADCAST = 1_000_000
 #: Most bits of the filter of wanted documents: 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -399,9 +401,10 @@ def linked_texts(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100,
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, of each group of linked documents only the one with the smallest id, once for each of its texts; rows with a null id stay."""
     linked = linked_texts(docs, id_col=id_col, text_col=text_col, **options)
-    # Only the dropped ids are joined: they are fewer, and small enough sets are broadcast by their measured size.
+    # Only the dropped ids are joined. Up to a fixed number of them are broadcast, so that texts stay where they are.
     dropped = written(linked.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped"), F.col("t").alias("_t")).distinct())
     repeated = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    dropped = F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped
     hashed = F.xxhash64(docs[text_col])
     out = docs.join(dropped, (docs[id_col] == F.col("_dropped")) & (hashed == F.col("_t")), "left_anti")
     if repeated:
