@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaweave.llm import harmonic_packing, langid_crf, mixing, ngram_jaccard, pii_semicrf
-from deltaweave.llm.common import table, written
+from deltaweave.llm.common import bounded_batches, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language holds less than this share of its words' posteriors is rejected, as is one without letters.
@@ -25,6 +25,7 @@ LEAST_LANGUAGE = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language; a missing language is filled in."""
+    bounded_batches(spark)
     seen = langid_crf.identify(docs, langid_crf.train(docs), keep=COLUMNS[1:])
     kept = seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -32,6 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more on five-word shingles the one with the smallest id stays."""
+    bounded_batches(spark)
     return ngram_jaccard.one_of_each(docs, n=5, num=80, den=100).select(*COLUMNS)
 
 
