@@ -162,10 +162,10 @@ def _sql(graph: str, body: str, directed: bool = False) -> str:
     back = f"""SELECT v, {int(directed)}, u, lv.label, lu.label, el, ins, del FROM vers JOIN vertices lu ON lu.id = u JOIN vertices lv ON lv.id = v"""
     return f"""WITH {SQL[graph]},
 replayed AS (SELECT *, lag(op, 1, 'D') OVER (PARTITION BY u, v ORDER BY seq) AS was FROM log),
-changes AS (SELECT *, lead(seq) OVER (PARTITION BY u, v ORDER BY seq) AS next FROM replayed WHERE op <> was),
+changes AS MATERIALIZED (SELECT *, lead(seq) OVER (PARTITION BY u, v ORDER BY seq) AS next FROM replayed WHERE op <> was),
 eff AS (SELECT seq, op, u, v, CASE WHEN op = 'I' THEN seq ELSE seq - 1 END AS th FROM changes WHERE seq > 0),
-vers AS (SELECT * FROM (SELECT u, v, el, greatest(seq, 0) AS ins, CASE WHEN next IS NULL THEN {OPEN} ELSE greatest(next, 0) END AS del FROM changes WHERE op = 'I') WHERE ins < del),
-adj(src, side, dst, src_label, dst_label, el, ins, del) AS (
+vers AS MATERIALIZED (SELECT * FROM (SELECT u, v, el, greatest(seq, 0) AS ins, CASE WHEN next IS NULL THEN {OPEN} ELSE greatest(next, 0) END AS del FROM changes WHERE op = 'I') WHERE ins < del),
+adj(src, side, dst, src_label, dst_label, el, ins, del) AS MATERIALIZED (
   SELECT u, 0, v, lu.label, lv.label, el, ins, del FROM vers JOIN vertices lu ON lu.id = u JOIN vertices lv ON lv.id = v
   UNION ALL {back}),
 alive AS (SELECT * FROM adj WHERE del = {OPEN}),
@@ -278,5 +278,5 @@ ORACLE_SQL: dict[str, str] = {
     "two_hop_counts": _sql("handoff", "SELECT a.src AS id, a.dst_label AS label1, a.side AS side1, b.dst_label AS label2, b.side AS side2, count(*) AS n FROM alive a JOIN alive b ON b.src = a.dst AND b.dst <> a.src GROUP BY ALL"),
     "dominance_candidates": _sql("click", ", c AS (SELECT src AS id, src_label AS l, count(*) FILTER (dst_label = 1 AND side = 0) AS o, count(*) FILTER (dst_label = 0 AND side = 1) AS i FROM alive GROUP BY ALL) SELECT qv, id FROM c JOIN (VALUES (0, 0, 1, 0), (1, 1, 0, 2), (2, 0, 1, 0)) q(qv, ql, need_o, need_i) ON l = ql AND o >= need_o AND i >= need_i", True),
     "compaction_alive": f"WITH {SQL['handoff']} SELECT u, v, 0::BIGINT AS ins FROM log GROUP BY u, v HAVING arg_max(op, seq) = 'I'",
-    "affected_vertices": _sql("handoff", ", e AS (SELECT u AS id FROM eff WHERE seq <= 50 UNION SELECT v FROM eff WHERE seq <= 50) SELECT id FROM e UNION SELECT dst FROM alive JOIN e ON src = id"),
+    "affected_vertices": _sql("handoff", ", e AS (SELECT u AS id FROM eff UNION SELECT v FROM eff) SELECT id FROM e UNION SELECT dst FROM alive JOIN e ON src = id"),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from deltaweave.functions.scalars import base_name, dataset_name
 from deltaweave.operators import matching, pruning, statistics, versions
-from deltaweave.plans.match_plan import build_plans, explain
+from deltaweave.plans.match_plan import RARE_FIRST, build_plans, explain
 from deltaweave.sources.text import GraphStream
 
 
@@ -21,7 +21,11 @@ def run(data: GraphStream, *, kind: int = 0, time_limit: float | None = None) ->
     labelled = pruning.relevant(versions.labelled_updates(eff, data.vertices), data.query)
     adj = versions.adjacency(versions.versions(data.log), data.vertices, data.directed)
     updates = data.updates()
-    deltas = matching.delta_matches(updates, labelled, adj, data.query, kind=kind).persist()
+    stats = None
+    if kind == RARE_FIRST:  # the order by rarity needs the initial graph's statistics
+        initial = versions.adjacency(versions.versions(data.log.where("seq <= 0")), data.vertices, data.directed)
+        stats = statistics.collect_statistics(initial, data.vertices, data.query.labels)
+    deltas = matching.delta_matches(updates, labelled, adj, data.query, kind=kind, stats=stats).persist()
     relevant = pruning.relevant(versions.labelled_updates(updates, data.vertices), data.query).count()
     complete = True
     if time_limit is not None:

@@ -106,3 +106,15 @@ def test_time_limit_gives_lower_bounds(spark, tmp_path):
     g, s = write(tmp_path, g=GRAPH, s=STREAM)
     _, summary = report.run(load_dataset(spark, g, s, QUERY), time_limit=0.0)
     assert summary["dm_pos"] <= 6
+
+
+def test_rare_first_order_gives_the_same_deltas(spark, tmp_path):
+    from deltaweave.plans.match_plan import RARE_FIRST, RI
+
+    (tmp_path / "g").write_text("v 0 0\nv 1 1\nv 2 2\nv 3 2\ne 0 1\ne 1 2\n")
+    (tmp_path / "s").write_text("e 0 2\ne 0 3\ne 1 3\n-e 0 1\n")
+    got = []
+    for kind in (RI, RARE_FIRST):
+        data = load_dataset(spark, str(tmp_path / "g"), str(tmp_path / "s"), "v 0 0\nv 1 1\nv 2 2\ne 0 1\ne 1 2\ne 0 2\n")
+        got.append(sorted(tuple(r) for r in report.run(data, kind=kind)[0].collect()))
+    assert got[0] == got[1] and any(r[2] for r in got[0])
