@@ -1,13 +1,16 @@
 """Exact top-k inner-product search with one KD-tree for each shard.
 
-Rows are dealt to shards of about `shard_rows` by hash. A shard's tree halves its rows at the median of the dimension
-with the widest range and keeps a tight bounding box for each node. A query visits leaves best-first: a box bounds its
-inner product from above by the better end in each dimension, and the search ends when no bound can beat the kth score so
-far. Queries go through the trees in blocks; each block first searches one home shard, and the kth scores
-found there are propagated to the search of all the others, whose candidates are merged at last.
+Shards are regions of space: the top median splits of a tree over a bounded sample (`sample` rows) deal every row to a
+region, and a region of more than `shard_rows` rows is cut into pieces by hash (copies of one vector too). A shard's
+tree halves its rows at the median of the dimension with the widest range and keeps a tight bounding box for each node. A
+query visits leaves best-first: a box bounds its inner product from above by the better end in each dimension, and the search
+ends when no bound can beat the kth score so far. Each query first searches one shard of its home region, the one whose
+box's middle scores best. The kth score found there is propagated: the query is sent only to regions whose own box, tight over all rows,
+can still reach it, and starts with it as its floor. The candidates are merged at last.
 
-Query blocks meet shards by an equality join on the shard's number (a stated query set against all rows, in blocks). A task holds one
-tree and one block. Work on a tree is pure, so a lost executor's share is simply done again.
+Query blocks meet shards by an equality join on region and piece (a stated query set against all rows, in blocks). A task holds one
+tree and one block. Boxes of regions are held by each task that sends blocks: at most `sample` / 16 regions whatever the number of rows.
+Work on a tree is pure, so a lost executor's share is simply done again.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; vectors
 meet vectors of the same length only; a query never returns its own id; repeated rows are candidates of their own (equal ones in
@@ -26,7 +29,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaweave.llm.common import table, written
+from deltaweave.llm.common import bounded_sample, table, written
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> type:
+    """The type to multiply in: float64 is much faster, and exact below 2^52."""
+    size = float(np.abs(a, dtype=np.float64).max(initial=0)) * float(np.abs(b, dtype=np.float64).max(initial=0)) * max(1, b.shape[1])
+    return np.float64 if size < 2**52 else np.int64
+
+
+def _bounds(queries: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Each query's greatest possible product with a row of each box."""
+    return np.maximum(queries, 0) @ hi.T.astype(queries.dtype) + np.minimum(queries, 0) @ lo.T.astype(queries.dtype)
+
+
+class Regions:
+    """The top splits of a KD-tree over a sample; a row goes left where its component is below the split."""
+
+    def __init__(self, vecs: np.ndarray, most: float, least: int = 16):
+        """Regions of about `most` rows of the sample, but never below `least`."""
+        self.axis, self.split, self.child, self.region, self.n = [], [], [], [], 0
+        todo = [np.arange(len(vecs))]
+        for own in todo:  # grows while it is read
+            at = vecs[own]
+            axis = int((at.max(0).astype(np.float64) - at.min(0)).argmax()) if at.size else 0
+            x = at[:, axis] if at.size else np.zeros(0, np.int64)
+            if len(own) <= most or len(own) < 2 * least or x.min() == x.max():
+                self.axis.append(0)
+                self.split.append(0)
+                self.child.append(-1)
+                self.region.append(self.n)
+                self.n += 1
+                continue
+            split = np.partition(x, len(x) // 2)[len(x) // 2]
+            split = split if split > x.min() else x[x > split].min()
+            self.axis.append(axis)
+            self.split.append(split)
+            self.child.append(len(todo))
+            self.region.append(-1)
+            todo += [own[x < split], own[x >= split]]
+        self.axis, self.split, self.child, self.region = (np.array(c, np.int64) for c in (self.axis, self.split, self.child, self.region))
+
+    def of(self, vecs: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(vecs), np.int64)
+        inner = np.flatnonzero(self.child[at] >= 0)
+        while len(inner):
+            node = at[inner]
+            at[inner] = self.child[node] + (vecs[inner, self.axis[node]] >= self.split[node])
+            inner = inner[self.child[at[inner]] >= 0]
+        return self.region[at]
 
 
 class KdTree:
@@ -60,10 +111,9 @@ class KdTree:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query's row, ids, scores) of the k best rows that reach the query's floor."""
-        size = float(np.abs(self.vecs, dtype=np.float64).max(initial=0)) * float(np.abs(queries, dtype=np.float64).max(initial=0)) * max(1, queries.shape[1])
-        kind = np.float64 if size < 2**52 else np.int64  # float64 is exact below, and much faster
+        kind = _exact(self.vecs, queries)
         vecs, qs = self.vecs.astype(kind), queries.astype(kind)
-        bounds = np.maximum(qs, 0) @ self.hi.T.astype(kind) + np.minimum(qs, 0) @ self.lo.T.astype(kind)
+        bounds = _bounds(qs, self.lo, self.hi)
         for r, own in enumerate(query_ids):
             yield (r, *self._one(int(own), qs[r], bounds[r].tolist(), int(floor[r]), k, vecs))
 
@@ -126,30 +176,96 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
     return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("ints"), F.size("v").alias("dim"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, shard_rows: int = 8192, block_rows: int = 1024, leaf: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score. is_query: a condition on vec_id."""
-    rows = written(quantised(vectors, id_col, vector_col, scale))
-    n = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    shards, blocks = max(1, -(-n[0] // shard_rows)), max(1, -(-n[1] // block_rows))
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """A batch's rows for each length of vectors, with their matrix."""
+    dims = np.asarray(batch.column("dim"))
+    for dim in np.unique(dims):
+        part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+        yield int(dim), part, _matrix(pa.chunked_array([part.column("ints")]), part.num_rows)
+
+
+def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, shard_rows: int = 8192, block_rows: int = 1024, leaf: int = 256, sample: int = 16_384) -> DataFrame:
+    """query_id, rank, vec_id, score. is_query: a condition on vec_id. sample: rows that the regions are fitted on."""
+    given = quantised(vectors, id_col, vector_col, scale)
+    n = given.count()
+    drawn: dict[int, list] = {}
+    for row in bounded_sample(given, sample, id_col="vec_id").toLocalIterator():
+        drawn.setdefault(row.dim, []).append(row.ints)
+    most = shard_rows * max(1, sum(map(len, drawn.values()))) / max(1, n)
+    fitted = {dim: Regions(np.array(v, np.int64).reshape(len(v), -1), most) for dim, v in drawn.items() if len(v) > 16}
+    drawn.clear()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, part, vecs in _by_length(b):
+                region = fitted[dim].of(vecs) if dim in fitted else np.zeros(part.num_rows, np.int64)
+                yield part.append_column("region", pa.array(region, pa.int64()))
+
+    # `lot` is stored, so that copies of a row can be told apart in every later reading.
+    dealt = written(given.withColumn("lot", F.monotonically_increasing_id()).mapInArrow(deal, "vec_id long, ints array<long>, dim int, lot long, region long"))
+    sizes = written(dealt.groupBy("dim", "region").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("pieces")))
 
     def build(group: pa.Table) -> pa.Table:
         ids = np.asarray(group["vec_id"], np.int64)
         tree = KdTree(ids, _small(_matrix(group["ints"], len(ids))), leaf)
-        return pa.table({"dim": pa.array([group["dim"][0].as_py()], pa.int32()), "shard": pa.array([group["shard"][0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps(tree, 5)], pa.binary())})
+        keys = [group[c].slice(0, 1).combine_chunks() for c in ("dim", "region", "piece")]
+        box = [pa.array([x[0].astype(np.int64)], pa.list_(pa.int64())) for x in (tree.lo, tree.hi)]
+        return pa.table([*keys, *box, pa.array([pickle.dumps(tree, 5)], pa.binary())], ["dim", "region", "piece", "lo", "hi", "tree"])
+
+    lot = F.xxhash64("vec_id", "lot")
+    shards = dealt.join(sizes, ["dim", "region"]).withColumn("piece", F.pmod(lot, "pieces")).drop("pieces")
+    trees = written(shards.groupBy("dim", "region", "piece").applyInArrow(build, "dim int, region long, piece long, lo array<long>, hi array<long>, tree binary"))
+    ends = trees.where(F.col("dim").isin(list(fitted))).select("dim", "region", F.posexplode(F.arrays_zip("lo", "hi"))).groupBy("dim", "region", "pos").agg(F.min("col.lo").alias("lo"), F.max("col.hi").alias("hi"))
+    # One box for each region that the sample gave.
+    own = ends.groupBy("dim", "region").agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "hi"))).alias("b")).select("dim", "region", "b.lo", "b.hi")
+    found_boxes: dict[int, list] = {}
+    for row in own.toLocalIterator():
+        found_boxes.setdefault(row.dim, []).append((row.region, row.lo, row.hi))
+    boxes = {dim: (np.array([x[0] for x in v], np.int64), _small(np.array([x[1] for x in v], np.int64)), _small(np.array([x[2] for x in v], np.int64))) for dim, v in found_boxes.items()}
+    found_boxes.clear()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, part, vecs in _by_length(b):
+                home = np.zeros(part.num_rows, np.int64)
+                if dim in boxes:
+                    regions, lo, hi = boxes[dim]
+                    home = regions[(vecs.astype(np.float64) @ (lo.astype(np.float64) + hi).T).argmax(1)]
+                part = part.drop_columns(["region"])
+                yield part.append_column("region", pa.array(home, pa.int64()))
 
     def pack(group: pa.Table) -> pa.Table:
         ids = np.asarray(group["vec_id"], np.int64)
         blob = pickle.dumps((ids, _small(_matrix(group["ints"], len(ids))), np.asarray(group["floor"], np.int64)), 5)
-        return pa.table({"dim": pa.array([group["dim"][0].as_py()], pa.int32()), "block": pa.array([group["block"][0].as_py()], pa.int64()), "queries": pa.array([blob], pa.binary())})
+        keys = [group[c].slice(0, 1).combine_chunks() for c in ("dim", "region", "piece")]
+        return pa.table([*keys, pa.array([blob], pa.binary())], ["dim", "region", "piece", "queries"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's queries to each region that can still give one of their k best; `done` is the piece already searched."""
+        names = ["dim", "region", "done", "queries"]
+        for b in batches:
+            for dim, home, piece, blob in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if dim not in boxes:
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([home], pa.int64()), pa.array([piece], pa.int64()), pa.array([blob], pa.binary())], names)
+                    continue
+                ids, qs, floor = pickle.loads(blob)
+                regions, lo, hi = boxes[dim]
+                kind = _exact(np.stack([lo, hi]), qs)
+                reach = _bounds(qs.astype(kind), lo, hi) >= floor[:, None]
+                for i in np.flatnonzero(reach.any(0)):
+                    q = reach[:, i]
+                    part = pickle.dumps((ids[q], qs[q], floor[q]), 5)
+                    done = piece if regions[i] == home else -1
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([regions[i]], pa.int64()), pa.array([done], pa.int64()), pa.array([part], pa.binary())], names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
         for b in batches:
             for i in range(b.num_rows):
-                name = (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                name = tuple(b.column(c)[i].as_py() for c in range(3))
                 if name != last:
-                    last, tree = name, pickle.loads(b.column(2)[i].as_py())
-                ids, qs, floor = pickle.loads(b.column(3)[i].as_py())
+                    last, tree = name, pickle.loads(b.column(3)[i].as_py())
+                ids, qs, floor = pickle.loads(b.column(4)[i].as_py())
                 out: list[list[np.ndarray]] = [[], [], []]
                 for r, found, scores in tree.search(ids, qs, floor, k):
                     out[0].append(np.full(len(found), ids[r]))
@@ -158,20 +274,22 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "v
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], ["query_id", "vec_id", "score"])
 
     found = "query_id long, vec_id long, score long"
-    lot = F.pmod(F.xxhash64("vec_id", "ints"), F.lit(shards))
-    trees = written(rows.withColumn("shard", lot).groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, tree binary"))
-    queries = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
-    packed = "dim int, block long, queries binary"
+    packed = "dim int, region long, piece long, queries binary"
     least = F.lit(-(1 << 63)).cast("long")
-    home = queries.withColumn("floor", least).groupBy("dim", "block").applyInArrow(pack, packed).withColumn("shard", F.pmod("block", F.lit(shards)))
-    # Queries whose home shard has no tree of their length simply start without a floor.
-    first = written(home.join(trees, ["dim", "shard"]).select("dim", "shard", "tree", "queries").mapInArrow(search, found))
+    settled = written(dealt.where(is_query).mapInArrow(settle, "vec_id long, ints array<long>, dim int, lot long, region long"))
+    blocks = settled.groupBy("dim", "region").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    numbered = settled.join(blocks, ["dim", "region"]).join(sizes, ["dim", "region"]).withColumn("block", F.pmod(lot, "blocks"))
+    queries = written(numbered.withColumn("piece", F.pmod("block", "pieces")).drop("pieces", "blocks", "lot"))
+    block = ["dim", "region", "piece", "block"]
+    home = queries.withColumn("floor", least).groupBy(*block).applyInArrow(pack, packed)
+    asked = ["dim", "region", "piece", "tree", "queries"]
+    first = written(home.join(trees, ["dim", "region", "piece"]).select(*asked).mapInArrow(search, found))
     floors = first.groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(least).alias("floor"))
     bounded = queries.join(floors, F.col("vec_id") == F.col("_q"), "left").drop("_q").withColumn("floor", F.coalesce("floor", least))
-    others = bounded.groupBy("dim", "block").applyInArrow(pack, packed).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    others = others.where(F.col("shard") != F.pmod("block", F.lit(shards)))
+    sent = bounded.groupBy(*block).applyInArrow(pack, packed).mapInArrow(send, "dim int, region long, done long, queries binary")
+    pieces = sent.join(sizes, ["dim", "region"]).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).where("piece <> done")
     # In the join's order equal shards are neighbours, so a task unpacks each tree once.
-    rest = others.join(trees, ["dim", "shard"]).select("dim", "shard", "tree", "queries").mapInArrow(search, found)
+    rest = pieces.join(trees, ["dim", "region", "piece"]).select(*asked).mapInArrow(search, found)
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -44,3 +44,33 @@ def test_boxes_prune():
     (_, ids, scores), = tree.search(np.array([-1]), np.array([[300, -200, 100]]), np.array([-(1 << 62)]), 5)
     assert scores.tolist() == sorted((vecs @ [300, -200, 100]).tolist(), reverse=True)[:5]
     assert len(seen) < 12
+
+
+def test_regions_and_copies(spark):
+    """Regions are parts of space, copies of one vector (and of one row) are cut into pieces, results stay exact."""
+    rng = np.random.default_rng(5)
+    places = rng.integers(-90, 90, (12, 4))
+    rows = [(i, (places[i % 12] + rng.normal(size=4)).tolist()) for i in range(1500)]
+    rows += [(5000 + i, rows[7][1]) for i in range(700)] + [rows[20]] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = t.top_k(df, F.col("vec_id") % 50 == 0, k=9, shard_rows=100, block_rows=10, leaf=16, sample=600)
+    expected = brute([r for r in rows if r[0] != 20], lambda i: i % 50 == 0, 30)
+    best = {}
+    for q, _, i, s in expected:
+        best.setdefault(q, []).append((-s, i))
+    for i, v in [rows[20]] * 4:  # the repeated row is a candidate each time
+        for q in best:
+            a, b = (np.floor(64 * np.array(x)).astype(int) for x in (dict(rows)[q], v))
+            best[q].append((-int(a @ b), i))
+    flat = [(q, r, i, -s) for q, c in best.items() for r, (s, i) in enumerate(sorted(c)[:9], 1)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(flat)
+
+
+def test_regions_split_space():
+    rng = np.random.default_rng(1)
+    vecs = rng.integers(-100, 100, (1000, 3))
+    cut = t.Regions(vecs, 100)
+    at = cut.of(vecs)
+    sizes = np.bincount(at, minlength=cut.n)
+    assert cut.n >= 10 and sizes.min() >= 16 and sizes.max() <= 100
+    assert t.Regions(np.ones((500, 3), np.int64), 10).n == 1
