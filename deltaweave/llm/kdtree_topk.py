@@ -276,7 +276,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "v
     found = "query_id long, vec_id long, score long"
     packed = "dim int, region long, piece long, queries binary"
     least = F.lit(-(1 << 63)).cast("long")
-    settled = written(dealt.where(is_query).mapInArrow(settle, "vec_id long, ints array<long>, dim int, lot long, region long"))
+    settled = dealt.where(is_query).mapInArrow(settle, "vec_id long, ints array<long>, dim int, lot long, region long")
     blocks = settled.groupBy("dim", "region").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
     numbered = settled.join(blocks, ["dim", "region"]).join(sizes, ["dim", "region"]).withColumn("block", F.pmod(lot, "blocks"))
     queries = written(numbered.withColumn("piece", F.pmod("block", "pieces")).drop("pieces", "blocks", "lot"))
