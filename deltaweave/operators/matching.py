@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaweave.functions.scalars import visible
+from deltaweave.operators.pruning import relevant_entries
 from deltaweave.plans.match_plan import Plan, Statistics, build_plans, set_partitions
 from deltaweave.plans.query_graph import QueryGraph
 
@@ -97,26 +98,21 @@ def _counted_tail(eff: DataFrame, adj: DataFrame, q: QueryGraph, plan: Plan) ->
 
 def _joint_counts(eff: DataFrame, adj: DataFrame, q: QueryGraph, plans: list[Plan]) -> DataFrame:
     """All anchors in one chain of joins: rows carry their anchor's number, and each level's key, side and labels are
-    looked up by it. There are as many joins as one anchor needs, and each shuffles the adjacency once for all."""
-    by = lambda values: F.get(F.array(*[F.lit(x) for x in values]), F.col("a"))
+    looked up by it. There are as many joins as one anchor needs, and each shuffles the adjacency once for all.
 
-    def chosen(positions: list[int], names: list[str]) -> Column:
-        return F.get(F.array(*[F.col(n) for n in names]), by(positions))
+    A level with several checks expands each row from the end with the fewest entries of the wanted kind (its pivot) and closes
+    the others, so a hub is read only where all of a row's ends are hubs; rows with an end that never has such an entry go.
+    """
+    by = lambda values: F.get(F.array(*[F.lit(x) for x in values]), F.col("a"))
 
-    def entries(level_labels: list[int], checks: list, tag: str) -> tuple[DataFrame, Column]:
-        e = adj.where(F.col("dst_label").isin(sorted(set(level_labels)))).select(*[F.col(c).alias(f"_{c}{tag}") for c in ("src", "side", "dst", "dst_label", "el", "ins", "del")])
-        on = (F.col(f"_side{tag}") == by([c[1] for c in checks])) & visible(F.col("th"), F.col(f"_ins{tag}"), F.col(f"_del{tag}"))
+    def join(rows: DataFrame, at: Column, side: Column, el: Column, label: Column, labels: list[int], target: str | None, kept: list[str]) -> DataFrame:
+        """Entries of `at` that are visible to the row: with the wanted label as `_new`, or those that lead to `target`."""
+        e = adj.where(F.col("dst_label").isin(sorted(set(labels)))).select(*[F.col(c).alias(f"_{c}x") for c in ("src", "side", "dst", "dst_label", "el", "ins", "del")])
+        on = (at == F.col("_srcx")) & (F.col("_sidex") == side) & visible(F.col("th"), F.col("_insx"), F.col("_delx"))
         if q.labelled:
-            on = on & F.col(f"_el{tag}").eqNullSafe(F.get(F.array(*[F.lit(c[2]).cast("long") for c in checks]), F.col("a")))
-        return e, on
-
-    def join(rows: DataFrame, checks: list, labels: list[int], positions: list[int], names: list[str], target: str | None) -> DataFrame:
-        e, on = entries(labels, checks, "x")
-        on = on & (chosen(positions, names) == F.col("_srcx"))
-        on = on & (F.col("_dstx") == F.col(target) if target else F.col("_dst_labelx") == by(labels))
-        rows = rows.join(e, on)
-        keep = ["seq", "th", "a", *names, *([target] if target and target not in names else [])]
-        return rows.select(*keep, *([] if target else [F.col("_dstx").alias("_new")]))
+            on = on & F.col("_elx").eqNullSafe(el)
+        on = on & (F.col("_dstx") == F.col(target) if target else F.col("_dst_labelx") == label)
+        return rows.join(e, on).select(*kept, *([] if target else [F.col("_dstx").alias("_new")]))
 
     names = ["p0", "p1"]
     found = []
@@ -133,21 +129,35 @@ def _joint_counts(eff: DataFrame, adj: DataFrame, q: QueryGraph, plans: list[Pla
         shut = rows.where(F.col("a").isin([i for i, c in enumerate(closing) if c]))
         checks = [c[0] if c else (0, 0, None) for c in closing]
         ends = [q.labels[p.first] for p in plans]
-        shut = join(shut, checks, ends, [1] * len(plans), names, "p0")
-        rows = open_.unionByName(shut.select("seq", "th", "a", *names))
+        shut = join(shut, F.col("p1"), by([c[1] for c in checks]), by([c[2] for c in checks]).cast("long"), by(ends), ends, "p0", ["seq", "th", "a", *names])
+        rows = open_.unionByName(shut)
+    degrees = adj.groupBy(F.col("src").alias("_src"), F.col("side").alias("_side"), F.col("dst_label").alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     for i in range(q.k - 2):
         level = [p.levels[i] for p in plans]
         labels = [q.labels[x.vertex] for x in level]
         most = max(len(x.checks) for x in level)
+        # An anchor with fewer checks repeats its first one, which holds exactly once.
+        checks = [x.checks + x.checks[:1] * (most - len(x.checks)) for x in level]
+        flat = lambda values, j, n=most: F.get(F.array(*[F.lit(x) for x in values]), F.col("a") * n + j)
+        position = [place[a][c[0]] for a, own in enumerate(checks) for c in own]
+        sides = [c[1] for own in checks for c in own]
+        els = [c[2] for own in checks for c in own]
+        at = lambda j, p=position, f=flat: F.get(F.array(*[F.col(n) for n in names]), f(p, j))
+        kept = ["seq", "th", "a", *names]
+        if most > 1:
+            for j in range(most):
+                d = degrees.withColumnRenamed("_n", f"_n{j}")
+                rows = rows.join(d, (at(F.lit(j)) == F.col("_src")) & (flat(sides, F.lit(j)) == F.col("_side")) & (by(labels) == F.col("_label"))).drop("_src", "_side", "_label")
+            n = F.array(*[F.col(f"_n{j}") for j in range(most)])
+            rows = rows.select(*kept, (F.array_position(n, F.array_min(n)) - 1).cast("int").alias("_pivot"))
+            kept.append("_pivot")
         for j in range(most):
-            # An anchor with fewer checks repeats its first one, which holds exactly once.
-            checks = [x.checks[j] if j < len(x.checks) else x.checks[0] for x in level]
-            positions = [place[a][c[0]] for a, c in enumerate(checks)]
-            rows = join(rows, checks, labels, positions, names, "_new" if j else None)
+            which = F.lit(0) if most == 1 else F.col("_pivot") if not j else F.when(F.col("_pivot") == j, 0).otherwise(j)
+            rows = join(rows, at(which), flat(sides, which), flat(els, which).cast("long"), by(labels), labels, "_new" if j else None, [*kept, *(["_new"] if j else [])])
             if not j:
                 for n in names:
                     rows = rows.where(F.col("_new") != F.col(n))
-        rows = rows.withColumnRenamed("_new", f"p{i + 2}")
+        rows = rows.drop("_pivot").withColumnRenamed("_new", f"p{i + 2}")
         names = [*names, f"p{i + 2}"]
     return rows.groupBy("seq").agg(F.sum(by([p.weight for p in plans])).cast("long").alias("n"))
 
@@ -156,6 +166,7 @@ def delta_counts(eff: DataFrame, adj: DataFrame, q: QueryGraph, *, stats: Statis
     """seq, delta for updates with embeddings. eff: labelled effective updates. joint: all anchors in one chain of
     joins; count_tails: a chain for each anchor, with independent last vertices counted instead of enumerated."""
     plans = build_plans(q, stats, kind, merge)
+    adj = relevant_entries(adj, q)
     if joint and not count_tails:
         return _joint_counts(eff, adj, q, plans).select("seq", F.col("n").alias("delta")).where("delta > 0")
     parts = []

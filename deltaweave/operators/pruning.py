@@ -18,6 +18,12 @@ def relevant(edges: DataFrame, q: QueryGraph, lu: str = "lu", lv: str = "lv") ->
     return edges.where(reduce(lambda a, b: a | b, ((F.col(lu) == a) & (F.col(lv) == b) for a, b in pairs)))
 
 
+def relevant_entries(adj: DataFrame, q: QueryGraph) -> DataFrame:
+    """Adjacency entries whose labels and side occur in the query."""
+    kinds = {x for a, b in q.edges for x in ((q.labels[a], 0, q.labels[b]), (q.labels[b], int(q.directed), q.labels[a]))}
+    return adj.where(reduce(lambda x, y: x | y, ((F.col("src_label") == a) & (F.col("side") == s) & (F.col("dst_label") == b) for a, s, b in sorted(kinds))))
+
+
 def anchor_tasks(eff: DataFrame, q: QueryGraph) -> DataFrame:
     """seq, qa, qb for each effective update and anchor with its label pair."""
     rows = []
