@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from deltaweave.functions.scalars import OPEN, STAIRS, alive_within, stair_class
 from deltaweave.operators import matching, pruning, statistics, versions
 from deltaweave.plans.query_graph import QueryGraph
-from deltaweave.sources import tables
+from deltaweave.sources import tables, text
 from deltaweave.sources.tables import SQL, GraphLog
+from deltaweave.streaming.engine import MatchingStream, in_batches
 
 EDGE01 = QueryGraph([0, 1], {(0, 1): None})
 TRIANGLE = QueryGraph([0, 1, 2], {(0, 1): None, (1, 2): None, (0, 2): None})
@@ -42,8 +43,11 @@ class Graph:
         self.alive = versions.adjacency(versions.compacted(self.versions), g.vertices, g.directed)
 
     def deltas(self, q: QueryGraph, **options) -> DataFrame:
-        eff = pruning.relevant(self.labelled, q)
-        return matching.delta_matches(self.g.updates(), eff, self.adj, q, **options)
+        # Each level of the joins reads these two; without persist (lazy, on disk where memory ends) each would replay the log.
+        # unpersist drops a frame of an earlier call, which may hold a file's former content.
+        eff = pruning.relevant(self.labelled, q).unpersist().persist()
+        adj = pruning.relevant_entries(self.adj, q).unpersist().persist()
+        return matching.delta_matches(self.g.updates(), eff, adj, q, **options)
 
 
 def _graph(derive: Callable[[SparkSession, str], GraphLog], f: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -107,6 +111,41 @@ def _octaves(g: Graph, q: QueryGraph) -> DataFrame:
     return d.groupBy(F.floor(2 * F.log2("delta") + 1e-9).cast("int").alias("half_octave")).agg(F.count(F.lit(1)).alias("n_updates"))
 
 
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hand-off stream in micro-batches through the streaming engine, after a warm-up of growing batches."""
+    g = tables.handoff(spark, sf_dir)
+    engine = MatchingStream(spark, tables.scratch(spark), g.log, g.vertices, TRIANGLE)
+    in_batches(g.updates(), 4096, engine.apply)
+    return engine.deltas()
+
+
+def _as_text(spark: SparkSession, sf_dir: str) -> text.GraphStream:
+    """The labelled click graph written as text files and read back; every other deletion in the shifted form."""
+    g, path = Graph(_labelled_click(spark, sf_dir)), tables.scratch(spark)
+    text.write_graph(g.g.vertices, versions.snapshot(g.versions, 0), f"{path}/graph")
+    text.write_stream(g.g.updates(), f"{path}/stream", F.col("seq") % 2 == 0)
+    return text.load_dataset(spark, f"{path}/graph", f"{path}/stream", "v 0 0\nv 1 1\ne 0 1\n", directed=True)
+
+
+def _load_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What loading reports of a text graph with repeated edges, labels that conflict and self-loops."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    path = tables.scratch(spark)
+    ends = lines.select((F.col("l_partkey") % 500).alias("u"), (F.col("l_suppkey") % 500).alias("v"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("el"))
+    text.write_graph(ends.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", (F.col("id") % 3).alias("label")), ends, path)
+    r = text.load_dataset(spark, path, None, "v 0 0\nv 1 1\ne 0 1\n").report
+    names = ["nodes", "edges", "initial_edges", "duplicate_edges", "edge_label_conflicts", "implicit_vertices", "relabel_ignored"]
+    return spark.createDataFrame([tuple(r[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+_LOAD_SQL = """
+WITH e AS (SELECT l_partkey % 500 AS a, l_suppkey % 500 AS b, CASE WHEN l_linenumber > 1 THEN l_linenumber::BIGINT ELSE -1 END AS el FROM lineitem),
+p AS (SELECT least(a, b) AS u, greatest(a, b) AS v, count(*) AS n, count(DISTINCT el) AS labels FROM e WHERE a <> b GROUP BY ALL)
+SELECT (SELECT count(*) FROM (SELECT a FROM e UNION SELECT b FROM e)) AS nodes, (SELECT count(*) FROM e) AS edges, count(*) AS initial_edges,
+  coalesce(sum(n - 1), 0)::BIGINT AS duplicate_edges, count(*) FILTER (labels > 1) AS edge_label_conflicts, 0::BIGINT AS implicit_vertices, 0::BIGINT AS relabel_ignored
+FROM p
+"""
+_TEXT_LOG = "SELECT 0::BIGINT AS seq, u, v, 'I' AS op, coalesce(el, -1) AS el FROM vers WHERE ins <= 0 AND 0 < del UNION ALL SELECT row_number() OVER (ORDER BY seq), u, v, op, coalesce(el, -1) FROM log WHERE seq > 0"
 _G = tables.handoff
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eff_updates": _graph(_G, lambda g: g.eff.select("seq", "op", "u", "v", "th")),
@@ -152,6 +191,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dominance_candidates": _graph(tables.click, lambda g: pruning.dominance(g.alive, WEDGE)),
     "compaction_alive": _graph(_G, lambda g: versions.compacted(g.versions).select("u", "v", "ins")),
     "affected_vertices": _graph(_G, lambda g: versions.affected_vertices(g.eff, g.alive)),
+    "stream_replay_triangle": _replayed,
+    "text_log": lambda spark, sf_dir: _as_text(spark, sf_dir).log.select("seq", "u", "v", "op", F.coalesce("el", F.lit(-1)).alias("el")),
+    "text_vertices": lambda spark, sf_dir: _as_text(spark, sf_dir).vertices.select("id", "label"),
+    "load_statistics": _load_statistics,
 }
 
 # -- SQL ------------------------------------------------------------------------------------------------------------
@@ -279,4 +322,8 @@ ORACLE_SQL: dict[str, str] = {
     "dominance_candidates": _sql("click", ", c AS (SELECT src AS id, src_label AS l, count(*) FILTER (dst_label = 1 AND side = 0) AS o, count(*) FILTER (dst_label = 0 AND side = 1) AS i FROM alive GROUP BY ALL) SELECT qv, id FROM c JOIN (VALUES (0, 0, 1, 0), (1, 1, 0, 2), (2, 0, 1, 0)) q(qv, ql, need_o, need_i) ON l = ql AND o >= need_o AND i >= need_i", True),
     "compaction_alive": f"WITH {SQL['handoff']} SELECT u, v, 0::BIGINT AS ins FROM log GROUP BY u, v HAVING arg_max(op, seq) = 'I'",
     "affected_vertices": _sql("handoff", ", e AS (SELECT u AS id FROM eff UNION SELECT v FROM eff) SELECT id FROM e UNION SELECT dst FROM alive JOIN e ON src = id"),
+    "stream_replay_triangle": _deltas_sql("handoff", TRIANGLE),
+    "text_log": _sql("click_labelled", _TEXT_LOG, True),
+    "text_vertices": _sql("click_labelled", "SELECT id, label FROM vertices", True),
+    "load_statistics": _LOAD_SQL,
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +28,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; without that setting only a local session has one."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), "scratch")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def ordered_lag(rows: DataFrame, by: str, column: str, out: str, chunk: int = 65_536) -> DataFrame:
     """The column's value in the row before, in the order of the integer column `by`.
 

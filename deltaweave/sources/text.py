@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from deltaweave.functions.scalars import canonical
 from deltaweave.operators.versions import canonical_log, dedup_edges
 from deltaweave.plans.query_graph import QueryGraph, parse_query
 
@@ -142,6 +143,10 @@ def load_dataset(spark: SparkSession, graph: str, stream: str | None, query_text
     start = dedup_edges(edges.where("file = 0").select("u", "v", F.col("label").cast("long").alias("el"), F.col("line").alias("at")), directed)
     log = start.select(F.lit(0).cast("long").alias("seq"), "u", "v", F.lit("I").alias("op"), "el")
     report["initial_edges"] = log.count()
+    a, b = canonical(F.col("u"), F.col("v"), directed)
+    pairs = edges.where("file = 0 and u <> v").groupBy(a.alias("u"), b.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("label", F.lit(-1))).alias("labels"))
+    load = pairs.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.count_if(F.col("labels") > 1).alias("conflicts")).first()
+    report |= {"duplicate_edges": load.duplicates, "edge_label_conflicts": load.conflicts}
     if stream:
         # An update's place in the file is its time; only the order matters.
         moves = edges.where("file = 1").select(F.col("line").cast("long").alias("seq"), "u", "v", "op", F.col("label").cast("long").alias("el"))
@@ -159,3 +164,13 @@ def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     v = vertices.select(F.concat_ws(" ", F.lit("v"), F.col("id").cast("string"), F.col("label").cast("string")).alias("value"))
     e = edges.select(F.concat_ws(" ", F.lit("e"), F.col("u").cast("string"), F.col("v").cast("string"), F.col("el").cast("string")).alias("value"))
     v.unionByName(e).write.mode("overwrite").text(path)
+
+
+def write_stream(updates: DataFrame, path: str, shifted: Column | None = None) -> None:
+    """Updates (seq, u, v, op, el) as a text stream in the order of seq; deletions for which `shifted` holds as `e -(u+1) -(v+1)`."""
+    shift = (F.col("op") == "D") & F.coalesce(shifted if shifted is not None else F.lit(False), F.lit(False))
+    tag = F.when((F.col("op") == "D") & ~shift, "-e").otherwise("e")
+    end = lambda c: F.when(shift, -F.col(c) - 1).otherwise(F.col(c)).cast("string")
+    # Files are named by partition and read in the order of their names.
+    rows = updates.repartitionByRange("seq").sortWithinPartitions("seq")
+    rows.select(F.concat_ws(" ", tag, end("u"), end("v"), F.col("el").cast("string")).alias("value")).write.mode("overwrite").text(path)

@@ -169,3 +169,16 @@ def test_signature_counters(spark):
     assert {(r.id, r.label1, r.label2): r.n for r in statistics.curvature(adj).collect()} == two
     deg = {(r.id): r.t4 for r in statistics.staircase(adj).groupBy("id").agg(F.sum("t4").alias("t4")).collect()}
     assert deg == {v: sum(len(near[w]) >= 4 for w in near[v]) for v in near if near[v]}
+
+
+def test_hub_is_not_expanded(spark):
+    """One vertex with 20,000 edges: rows expand from their other end, so few wedges are ever built."""
+    q = U((0, 1, 2), (0, 1), (1, 2), (0, 2))
+    n = 20_000
+    rows = [(0, 0, 10 + i, "I", None) for i in range(n)]
+    rows += [(i + 1, 10 + i, 10 + n // 2 + i, "I", None) for i in range(500)]
+    log = spark.createDataFrame(rows, "seq long, u long, v long, op string, el long")
+    vertices = spark.range(10, 10 + n).selectExpr("id", f"if(id < {10 + n // 2}, 1, 2) as label").unionByName(spark.createDataFrame([(0, 0)], "id long, label long"))
+    eff = versions.labelled_updates(versions.effective_updates(log), vertices)
+    adj = versions.adjacency(versions.versions(log), vertices, False)
+    assert [r.delta for r in matching.delta_counts(eff, adj, q).collect()] == [1] * 500
