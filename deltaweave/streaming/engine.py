@@ -8,8 +8,11 @@ other in sequence; an update at or before the last one applied is an error, not
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +21,9 @@ from deltaweave.functions.scalars import OPEN
 from deltaweave.operators import matching, pruning, versions
 from deltaweave.plans.query_graph import QueryGraph
 
+#: Updates of a batch whose touched edges are sent to all tasks, so that the state stays where it is.
+SMALL = 100_000
+
 
 class OutOfOrder(ValueError):
     """An update isn't later than those already applied."""
@@ -28,50 +34,109 @@ class MatchingStream:
 
     def __init__(self, spark: SparkSession, path: str, initial: DataFrame, vertices: DataFrame, query: QueryGraph):
         """initial: the log's rows at seq <= 0 (or none); vertices: id, label, the same for the whole run."""
-        self.spark, self.path, self.query, self.vertices = spark, path.rstrip("/"), query, vertices
-        versions.versions(initial.where("seq <= 0")).write.mode("overwrite").parquet(self._state(-1))
+        self.spark, self.path, self.query = spark, path.rstrip("/"), query
+        # Each batch reads the labels; kept, they aren't derived again.
+        vertices.select("id", "label").write.mode("overwrite").parquet(f"{self.path}/vertices")
+        self.vertices = spark.read.parquet(f"{self.path}/vertices")
+        first = self._relevant(versions.versions(initial.where("seq <= 0"))).select("u", "v", "el", "ins", "del", "lu", "lv")
+        self._columns = first.schema
+        first.write.mode("overwrite").parquet(self._state(-1))
         self._note(-1, 0)
+        #: The last batch advanced and its last update, if this object knows them.
+        self._at: tuple[int, int] | None = (-1, 0)
+
+    def _relevant(self, edges: DataFrame) -> DataFrame:
+        """Edges or updates that can occur in an embedding, with their ends' labels; the state holds no others."""
+        return pruning.relevant(versions.labelled_updates(edges, self.vertices), self.query)
 
     def _state(self, batch: int) -> str:
         return f"{self.path}/state/batch={batch}"
 
+    def _alive(self, batch: int) -> DataFrame:
+        return self.spark.read.schema(self._columns).parquet(self._state(batch)).where(F.col("del") == OPEN)
+
     def _note(self, batch: int, last: int) -> None:
-        self.spark.createDataFrame([(last,)], "last long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/applied/batch={batch}")
+        self.spark.range(1).select(F.lit(last).cast("long").alias("last")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/applied/batch={batch}")
 
     def _applied_before(self, batch: int) -> tuple[int, int]:
+        if self._at and self._at[0] < batch:
+            return self._at
         done = self.spark.read.parquet(f"{self.path}/applied").select(F.col("batch").cast("long").alias("batch"), "last").where(F.col("batch") < batch)
         row = done.agg(F.max(F.struct("batch", "last")).alias("x")).first().x
         return row.batch, row["last"]
 
-    def apply(self, updates: DataFrame, batch: int) -> None:
-        """One micro-batch."""
+    def _advance(self, updates: DataFrame, batch: int) -> tuple[int, Callable[[], None]] | None:
+        """Writes the state after a batch. Returns the batch's last update and what writes its deltas, which later batches don't wait for."""
         before, last = self._applied_before(batch)
+        updates = updates.persist()
         span = updates.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_distinct("seq").alias("d")).first()
         if not span.n:
-            return
+            return None
         if span.lo <= last or span.n != span.d:
             raise OutOfOrder(f"updates from {span.lo} after {last} were applied, or equal sequence numbers")
-        state = self.spark.read.parquet(self._state(before))
-        log = versions.canonical_log(updates, self.query.directed).persist()
+        self._at = None  # until the state is written
+        alive = self._alive(before)
+        # A small batch is one task's, so that its windows need no shuffle.
+        small = span.n <= SMALL
+        log = versions.canonical_log(updates.coalesce(1) if small else updates, self.query.directed)
+        log_ = self._relevant(log)
         # The open versions of touched edges enter as insertions before all updates.
-        touched = log.select("u", "v").distinct()
-        open_ = state.where(F.col("del") == OPEN).join(touched, ["u", "v"], "left_semi").select(F.lit(0).cast("long").alias("seq"), "u", "v", F.lit("I").alias("op"), "el", F.col("ins").alias("_ins"))
-        replay = log.withColumn("_ins", F.lit(None).cast("long")).unionByName(open_)
+        touched = log_.select("u", "v").distinct()
+        touched = F.broadcast(touched) if small else touched
+        open_ = alive.join(touched, ["u", "v"], "left_semi").select(F.lit(0).cast("long").alias("seq"), "u", "v", F.lit("I").alias("op"), "el", F.col("ins").alias("_ins"), "lu", "lv")
+        replay = log_.withColumn("_ins", F.lit(None).cast("long")).select(*open_.columns).unionByName(open_.repartition(1) if small else open_)
+        replay = replay.coalesce(1) if small else replay
         rows = versions.effective(replay).persist()
         w = W.partitionBy("u", "v").orderBy("seq")
         eff = versions.effective_updates(rows.drop("_ins"))
-        lives = rows.withColumn("_next", F.lead("seq").over(w)).where("op = 'I'").select("u", "v", "el", F.coalesce("_ins", "seq").alias("ins"), F.coalesce("_next", F.lit(OPEN)).alias("del"))
-        alive = state.where(F.col("del") == OPEN)
-        now = alive.join(touched, ["u", "v"], "left_anti").unionByName(lives).persist()
-        adj = versions.adjacency(now, self.vertices, self.query.directed)
-        labelled = pruning.relevant(versions.labelled_updates(eff, self.vertices), self.query)
-        found = matching.delta_matches(log, labelled, adj, self.query)
-        found.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+        lives = rows.withColumn("_next", F.lead("seq").over(w)).where("op = 'I'").select("u", "v", "el", F.coalesce("_ins", "seq").alias("ins"), F.coalesce("_next", F.lit(OPEN)).alias("del"), "lu", "lv")
         # Lifetimes that have ended can't be seen by later snapshots, so the next state is compact already.
-        now.where(F.col("del") == OPEN).write.mode("overwrite").parquet(self._state(batch))
-        self._note(batch, span.hi)
-        for df in (log, rows, now):
-            df.unpersist()
+        alive.join(touched, ["u", "v"], "left_anti").unionByName(lives.where(F.col("del") == OPEN)).write.mode("overwrite").parquet(self._state(batch))
+        now = self._alive(batch).unionByName(lives.where(F.col("del") != OPEN))
+        self._at = (batch, span.hi)
+
+        def match() -> None:
+            found = matching.delta_matches(log, eff, versions.entries(now, self.query.directed), self.query)
+            found.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+            for df in (updates, rows):
+                df.unpersist()
+
+        return span.hi, match
+
+    def apply(self, updates: DataFrame, batch: int) -> None:
+        """One micro-batch."""
+        if step := self._advance(updates, batch):
+            try:
+                step[1]()
+                self._note(batch, step[0])
+            except BaseException:
+                self._at = None
+                raise
+
+    def replay(self, log: DataFrame, size: int, at_once: int = 4) -> int:
+        """A bounded stream through in_batches. States follow each other; up to `at_once` batches are matched meanwhile, and noted in order."""
+        waiting: deque[tuple[int, int, Future]] = deque()
+
+        def settle(most: int) -> None:
+            while len(waiting) > most:
+                batch, last, done = waiting.popleft()
+                done.result()
+                self._note(batch, last)
+
+        def feed(updates: DataFrame, batch: int) -> None:
+            settle(at_once - 1)
+            if step := self._advance(updates, batch):
+                # Threads get the caller's job group, so that what cancels it cancels them too.
+                waiting.append((batch, step[0], pool.submit(inheritable_thread_target(self.spark)(step[1]))))
+
+        with ThreadPoolExecutor(at_once) as pool:
+            try:
+                n = in_batches(log, size, feed)
+                settle(0)
+            except BaseException:
+                self._at = None
+                raise
+        return n
 
     def deltas(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/deltas").select("seq", "op", "delta")
